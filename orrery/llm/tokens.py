@@ -67,16 +67,23 @@ class Encoder:
         self.size = self.own.get_vocab_size()
         self.cache: dict[str, bytes] = {}
 
+    def _learn(self, pieces: list[str]) -> None:
+        for k in range(0, len(pieces), 4096):
+            part = pieces[k : k + 4096]
+            for p, e in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.cache[p] = np.array(e.ids, "<u4").tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [None if any(s in t for s in self.special) else PIECES.findall(t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = list({p for c in cut if c for p in c}.difference(self.cache))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for p, e in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[p] = np.array(e.ids, "<u4").tobytes()
+        new = {p for c in cut if c for p in c}.difference(self.cache)
+        # a comma or full stop after a letter, at the end of a piece, is a pre-token of its own
+        tail = [p for p in new if len(p) > 1 and p[-1] in ",." and p[-2].isascii() and p[-2].isalpha()]
+        self._learn(list(new.difference(tail).union(p[:-1] for p in tail).union(",.").difference(self.cache)))
+        for p in tail:
+            self.cache[p] = self.cache[p[:-1]] + self.cache[p[-1]]
         get = self.cache.__getitem__
         return [b"".join(map(get, c)) if c is not None else np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, c in zip(texts, cut, strict=True)]
 
