@@ -31,7 +31,7 @@ from orrery.plans.scratch import written
 SCHEDULES = (((0.0, 6.0), (0.5, 5.0), (1.0, 4.0)), ((0.0, 1.0), (1.0, 3.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 WORD = r"[^\x20\x09-\x0D]+"
 KEYS = 1 << 31
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 10_000
 
 
 def word_count(text: Column) -> Column:

@@ -3,8 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orrery.llm import exact_dedup, mixing, tokens, warc
+from orrery.llm import decontamination, exact_dedup, html, jaccard, langid, line_dedup, mixing, tokens, warc
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
+    return langid.identify(docs, langid.train(docs), "doc_id", held_out)
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op4_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +26,19 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(tokens.write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontamination.contained_items(docs, items)
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return warc.read_warc(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -24,9 +48,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_curriculum, op5_token_files, op9_warc_round_trip, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_html_text, op4_mix_curriculum, op5_token_files, op6_jaccard_components, op7_line_chunks, op8_decontaminate, op9_warc_round_trip, op10_exact_dedup)}
 
 SQL = {
+    "op8_decontaminate": """
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, w[i : i + 4] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+its AS (SELECT DISTINCT item_id, w[i : i + 4] AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw)),
+n AS (SELECT item_id, count(*) AS n FROM its GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN its USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n AS n_shingles, n_found, round(n_found / n, 6) AS containment FROM c JOIN n USING (item_id) WHERE n_found >= ceil(round(0.8::DOUBLE * n, 6))""",
     "op9_warc_round_trip": """
 SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
   CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > min(page_id) OVER (PARTITION BY coalesce(html, '')) THEN 'revisit' ELSE 'response' END AS record_type,

@@ -243,4 +243,5 @@ def _reader(with_ids: bool):
 def read_tokens(files: DataFrame, ids: bool = False) -> DataFrame:
     """One row for each document of the files (path, start): doc_id, start, n_tokens, ids_crc32 (and ids)."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
-    return files.select("path", "start").repartition("path").mapInArrow(_reader(ids), schema)
+    # a task for each file, however few bytes the list itself has
+    return files.select("path", "start").repartition(max(1, files.count()), "path").mapInArrow(_reader(ids), schema)

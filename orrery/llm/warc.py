@@ -195,7 +195,8 @@ def read_warc(files: DataFrame, split: int = SPLIT, payload: bool = True) -> Dat
     starts = F.when(F.col("bytes") > 0, F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long")))
     ranges = files.select("path", "bytes", F.explode(starts).alias("start"))
     ranges = ranges.select("path", "bytes", "start", F.least(F.col("bytes"), F.col("start") + split).alias("end"))
-    return ranges.repartition("path", "start").mapInArrow(_reader(payload), RECORDS)
+    # a task for each range, however few bytes the list itself has
+    return ranges.repartition(max(1, ranges.count()), "path", "start").mapInArrow(_reader(payload), RECORDS)
 
 
 def archive(spark: SparkSession, folder: str) -> DataFrame:
