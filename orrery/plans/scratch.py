@@ -55,4 +55,4 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
     ``df`` should be cheap to count: a table from ``written``.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
