@@ -5,10 +5,12 @@ components of the link graph without listing all pairs of a group.
 
 1.  Regions of the whole space.  Nearly all pairs of sets have distance 1, where no pivot tells
     anything, so the first regions come from a necessary condition.  Sets of a size slot are cut by
-    hash into m parts; two linked sets differ in at most m - 1 - (empty parts) elements, so some
-    non-empty part is equal in both.  Sets with an equal part are joined, and the components of that graph
-    are the first regions: no link leaves one.  Sets whose parts are too often empty to promise that
-    also join on the prefix of their sorted hashes.
+    hash into parts, more than the D elements in which two linked sets can differ; so of N non-empty
+    parts at least N - D are equal in both.  Parts equal in up to ``FEW`` sets give pairs, whose
+    equal parts are counted: fewer than N - D less the set's parts that more sets have, and the
+    pair is out.  Sets of which too many parts are common for that to promise anything join all sets
+    like them through those parts, and sets with too many empty parts through the prefix of their
+    sorted hashes.  The components of that graph are the first regions: no link leaves one.
 2.  Regions with more than ``LEAF`` elements are split again: by size windows first, then by pivots.  Each
     set goes to the cell of its nearest pivot (Voronoi), and also to every cell whose pivot is at
     most 2R farther, where by the triangle inequality a partner may live.  Sets within R of a
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.graph import components, local_roots
 from orrery.llm.text import U64, mix, shingles, text_blocks, words
-from orrery.plans.scratch import drop, small, written
+from orrery.plans.scratch import small, written
 
 K = 5
 #: Links: 100 * intersection >= PERCENT * union; R is the same as a distance.
@@ -53,6 +55,8 @@ NEAR = 0.7
 EPS = 1e-9
 SALT_ROWS = 2000
 SMALL = 300_000
+FEW = 8
+#: The bits of a signature after those of its bucket, with its lowest two; the low 48 bits of a set's first fingerprint.
 ENTRY = np.dtype([("sig", "u1", 5), ("node", "u1", 6)])
 
 
@@ -70,19 +74,22 @@ def slot_parts(slot: int) -> int:
     return top // 4 + 1 + max(2, top // 64)
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """64-bit signatures of a sorted set of hashes; two linked sets share one at least."""
-    n = len(s)
-    out, own = [], slot_of(n)
+def signatures(s: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Signatures of the parts of a sorted set of hashes, and the number of them by parity of the slot.
+
+    The lowest two bits tell a slot's parity, or 2 for a hash of the prefix.
+    """
+    n, own, out, count = len(s), slot_of(len(s)), [], [0, 0]
     for slot in {own, slot_of(-(-4 * n // 5))}:
         m = slot_parts(slot)
         part = ((s >> U64(32)) * U64(m)) >> U64(32)
         begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        differ = n // 4 if slot == own else 2 * n // 9
-        out.append(mix(np.add.reduceat(mix(s ^ U64(0x5851F42D4C957F2D)), begin) + part[begin] * U64(0x2545F4914F6CDD1D) + U64(slot + 1)))
-        if len(begin) < differ + 1:
-            out.append(mix(s[: n - (4 * n + 4) // 5 + 1] + U64(0x1234567 + slot)))
-    return np.concatenate(out)
+        found = mix(np.add.reduceat(mix(s ^ U64(0x5851F42D4C957F2D)), begin) + part[begin] * U64(0x2545F4914F6CDD1D) + U64(slot + 1))
+        out.append(found & ~U64(3) | U64(slot & 1))
+        count[slot & 1] = len(begin)
+        if len(begin) < n // 4 + 1:
+            out.append(mix(s[: n - (4 * n + 4) // 5 + 1] + U64(0x1234567 + slot)) & ~U64(3) | U64(2))
+    return np.concatenate(out), count
 
 
 def fingerprints(s: np.ndarray) -> tuple[int, int]:
@@ -100,33 +107,37 @@ def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i + d, np.unique(every[begin[d] : begin[d + 1]])
 
 
+DOCS = [("bucket", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("parts0", pa.int64()), ("parts1", pa.int64()), ("blob", pa.binary())]
+
+
 def _first(buckets: int, k: int):
-    shift = U64(64 - (buckets - 1).bit_length())
-    schema = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("blob", pa.binary())])
+    bits = (buckets - 1).bit_length()
+    schema = pa.schema(DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            ids, docs, sigs, nodes, seen = batch.column(0).cast(pa.int64()).to_pylist(), [], [], [], set()
+            ids, docs, sigs, nodes, seen = batch.column(0).cast(pa.int64()).to_pylist(), [], [], [], {}
             for r, s in sets_of(batch.column(1), k):
                 fa, fb = fingerprints(s)
-                docs.append((row % buckets, ids[r], row, len(s), fa, fb, None))
-                row += 1
                 if len(s) and (fa, fb) not in seen:
-                    seen.add((fa, fb))
-                    sigs.append(signatures(s))
-                    nodes.append(np.full(len(sigs[-1]), fa, np.int64))
+                    sig, seen[fa, fb] = signatures(s)
+                    sigs.append(sig)
+                    nodes.append(np.full(len(sig), fa, np.int64))
+                docs.append((row % buckets, ids[r], row, len(s), fa, fb, *(seen[fa, fb] if len(s) else (0, 0)), None))
+                row += 1
             if sigs:
                 sig, node = np.concatenate(sigs), np.concatenate(nodes)
                 order = np.argsort(sig, kind="stable")
                 sig, node = sig[order], node[order]
                 entry = np.empty(len(sig), ENTRY)
-                entry["sig"] = (sig << (U64(64) - shift)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                kept = (sig << U64(bits)) & ~U64((1 << 26) - 1) | (sig & U64(3)) << U64(24)
+                entry["sig"] = kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
                 entry["node"] = node.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 2:]
-                bucket = (sig >> shift).astype(np.int64)
+                bucket = (sig >> U64(64 - bits)).astype(np.int64)
                 begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 ends = [*begin[1:].tolist(), len(sig)]
-                docs += [(int(bucket[a]), None, None, None, None, None, entry[a:b].tobytes()) for a, b in zip(begin.tolist(), ends, strict=True)]
+                docs += [(int(bucket[a]), *[None] * 7, entry[a:b].tobytes()) for a, b in zip(begin.tolist(), ends, strict=True)]
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*docs, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -141,54 +152,102 @@ def _number(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def star_edges(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node with the same signature) for the entries of a bucket."""
+def bucket_groups(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's entries: edges (a, b) by prefix; pairs (a, b, parity) of small groups; (node, signature, parity) of large ones."""
     sig, node = _number(entries["sig"]), _number(entries["node"])
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
-    begin = np.concatenate([[True], sig[1:] != sig[:-1]])
-    first = node[np.flatnonzero(begin)][np.cumsum(begin) - 1]
-    rest = node != first
-    return node[rest], first[rest]
+    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+    sig, node = sig[new], node[new]
+    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.concatenate([begin, [len(sig)]]))
+    group = np.repeat(np.arange(len(begin)), size)
+    kind, many = sig & 3, size[group]
+    star = (kind == 2) & (many > 1)
+    edges = np.array([node[star], node[begin[group[star]]]])
+    pairs = []
+    few = (kind < 2) & (many <= FEW)
+    for lag in range(1, FEW):
+        at = np.flatnonzero(few[:-lag] & (group[:-lag] == group[lag:])) if len(sig) > lag else np.zeros(0, np.int64)
+        pairs.append(np.array([node[at], node[at + lag], kind[at]]))
+    large = (kind < 2) & (many > FEW)
+    return edges[:, edges[0] != edges[1]], np.concatenate(pairs, 1), np.array([node[large], sig[large], kind[large]])
+
+
+GROUPS = "kind int, doc_id long, row long, n long, fa long, fb long, parts0 long, parts1 long, a long, b long, parity int, count long"
 
 
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document rows as they are; blobs, sorted by bucket, to the edges of their task."""
-    nothing, held, bucket, edges, waiting = np.zeros(0, np.int64), [], None, [], 0
-    null = lambda n: [pa.nulls(n, pa.int64())]
-    names = ["doc_id", "row", "n", "fa", "fb", "a", "b"]
-
-    def contract() -> None:
+    """Document rows as they are (kind 0); blobs, sorted by bucket, to edges (1), pairs (2) and common parts (3)."""
+    held, bucket, edges, pairs = [], None, [], []
+    names = [x.split()[0] for x in GROUPS.split(", ")]
+
+    def out(kind: int, a: np.ndarray, b: np.ndarray, parity: np.ndarray | None = None, count: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(a), 50_000):
+            to = slice(at, at + 50_000)
+            n = len(a[to])
+            last = [pa.nulls(n, pa.int32()) if parity is None else pa.array(parity[to].astype(np.int32)), pa.nulls(n, pa.int64()) if count is None else pa.array(count[to])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.nulls(n, pa.int64())] * 7, pa.array(a[to]), pa.array(b[to]), *last], names=names)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        """What the buckets so far have given, repeats put together."""
         if edges:
-            edges[:] = [local_roots(*(np.concatenate(x) for x in zip(*edges, strict=True)))]
-
-    def close() -> int:
+            yield from out(1, *local_roots(*np.concatenate(edges, 1)))
+        if pairs:
+            a, b, parity = np.concatenate(pairs, 1)
+            order = np.lexsort((parity, b, a))
+            a, b, parity = a[order], b[order], parity[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (parity[1:] != parity[:-1])])) if len(a) else np.zeros(0, np.int64)
+            yield from out(2, a[new], b[new], parity[new], np.diff(np.concatenate([new, [len(a)]])))
+        edges.clear()
+        pairs.clear()
+
+    def close() -> Iterator[pa.RecordBatch]:
         if held:
-            edges.append(star_edges(np.frombuffer(b"".join(held), ENTRY)))
+            more, two, common = bucket_groups(np.frombuffer(b"".join(held), ENTRY))
             held.clear()
-            return len(edges[-1][0])
-        return 0
+            edges.append(more)
+            pairs.append(two)
+            # the bucket's number makes the signature whole
+            yield from out(3, common[0], common[1] | bucket << 40, common[2])
+            if sum(x.shape[1] for x in pairs) + sum(x.shape[1] for x in edges) > 2_000_000:
+                yield from flush()
 
     for batch in batches:
-        blobs = batch.column(6)
+        blobs = batch.column(8)
         docs = batch.filter(pc.is_null(blobs))
-        if docs.num_rows:
-            yield pa.RecordBatch.from_arrays([*docs.columns[1:6], *null(docs.num_rows), *null(docs.num_rows)], names=names)
-        for b, blob in zip(batch.column(0), blobs, strict=True):
+        if n := docs.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *docs.columns[1:8], *[pa.nulls(n, pa.int64())] * 2, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
+        for b, blob in zip(batch.column(0).to_pylist(), blobs, strict=True):
             if blob.is_valid:
-                if b.as_py() != bucket:
-                    waiting += close()
-                    bucket = b.as_py()
-                    if waiting > 2_000_000:
-                        contract()
-                        waiting = 0
+                if b != bucket:
+                    yield from close()
+                    bucket = b
                 held.append(blob.as_py())
-    close()
-    contract()
-    a, b = edges[0] if edges else (nothing, nothing)
-    for at in range(0, len(a), 100_000):
-        x, y = a[at : at + 100_000], b[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([*(null(len(x)) * 5), pa.array(x), pa.array(y)], names=names)
+    yield from close()
+    yield from flush()
+
+
+def candidate_edges(both: DataFrame) -> DataFrame:
+    """(a, b): a graph on the sets' nodes, no component of which any link leaves."""
+    node = F.col("fa").bitwiseAND(F.lit((1 << 48) - 1))
+    common = both.where("kind = 3").select(F.col("a").alias("node"), F.col("b").alias("sig"), "parity")
+    many = common.groupBy("node").agg(*(F.sum(F.when(F.col("parity") == k, 1).otherwise(0)).alias(f"many{k}") for k in (0, 1)))
+    sets = both.where("kind = 0 and n > 0").groupBy(node.alias("node")).agg(F.min("n").alias("n"), F.min("parts0").alias("parts0"), F.min("parts1").alias("parts1"))
+    left = [(F.col(f"parts{k}") - F.coalesce(f"many{k}", F.lit(0))).alias(f"left{k}") for k in (0, 1)]
+    known = written(sets.join(many, "node", "left").select("node", "n", *left), "parts")
+    pairs = both.where("kind = 2").groupBy("a", "b", "parity").agg(F.sum("count").alias("count"))
+    for side in ("a", "b"):
+        mine = known.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(f"left{k}").alias(f"left{k}_{side}") for k in (0, 1)))
+        pairs = pairs.join(mine, side)
+    rest = F.greatest(*(F.when(F.col("parity") == 0, F.col(f"left0_{s}")).otherwise(F.col(f"left1_{s}")) for s in ("a", "b")))
+    differ = F.floor((F.col("n_a") + F.col("n_b")) / 9)
+    near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("count") >= rest - differ - 1)
+    pairs = pairs.where(near).select("a", "b")
+    heavy = known.select("node", F.explode(F.array(*(F.when(F.col(f"left{k}") <= F.floor(F.col("n") / 4) + 1, F.lit(k)) for k in (0, 1)))).alias("parity")).where("parity is not null")
+    joined = common.join(heavy, ["node", "parity"]).select("node", "sig")
+    stars = joined.join(joined.groupBy("sig").agg(F.min("node").alias("first")), "sig").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return both.where("kind = 1").select("a", "b").union(pairs).union(stars)
 
 
 def _sets(k: int):
@@ -375,11 +434,11 @@ def jaccard_rows(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, row, n, component_id, first) of each row; ``first``: the row that stands for its component."""
     pairs = docs.select(F.col("doc_id").cast("long"), "text")
     buckets = 1 << max(6, min(20, (max(1, docs.count()) // 2000).bit_length()))
-    both = pairs.mapInArrow(_first(buckets, k), "bucket long, doc_id long, row long, n long, fa long, fb long, blob binary")
-    both = both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_second, "doc_id long, row long, n long, fa long, fb long, a long, b long")
-    both = written(both, "signatures")
-    rows = both.where("row is not null").select("doc_id", "row", "n", "fa", "fb")
-    regions = components(both.where("a is not null").select("a", "b"))
+    schema = ", ".join(f"{x} {'binary' if x == 'blob' else 'long'}" for x, _ in DOCS)
+    both = pairs.mapInArrow(_first(buckets, k), schema).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_second, GROUPS)
+    both = written(both, "groups")
+    rows = both.where("kind = 0").select("doc_id", "row", "n", "fa", "fb")
+    regions = components(candidate_edges(both))
     sets = rows.where("n > 0 and doc_id is not null").groupBy("n", "fa", "fb").agg(F.min(F.struct("doc_id", "row")).alias("rep"))
     sets = written(sets, "sets")
     node = F.col("fa").bitwiseAND(F.lit((1 << 48) - 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import decontamination, exact_dedup, html, jaccard, langid, line_dedup, mixing, tokens, warc
+from orrery.llm import decontamination, exact_dedup, html, jaccard, langid, line_dedup, mixing, passages, tokens, warc
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs), "doc_id", held_out)
 
 
+def op2_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -48,7 +52,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_html_text, op4_mix_curriculum, op5_token_files, op6_jaccard_components, op7_line_chunks, op8_decontaminate, op9_warc_round_trip, op10_exact_dedup)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_shared_passages, op3_html_text, op4_mix_curriculum, op5_token_files, op6_jaccard_components, op7_line_chunks, op8_decontaminate, op9_warc_round_trip, op10_exact_dedup, pipeline)}
 
 SQL = {
     "op8_decontaminate": """

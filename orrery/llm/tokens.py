@@ -11,7 +11,7 @@ control bytes (ids / 4, rounded up); data bytes.  Files are in ascending doc_id
 
 The tokenizer splits at pre-token borders and encodes each pre-token by itself.  White space outside
 a leading blank never shares a pre-token with anything else, so the text is cut into such pieces, and
-each distinct piece is encoded by the tokenizer once for each cache.  Texts that hold the string of
+each distinct piece is encoded by the tokenizer once for each cache, many pieces in one call.  Texts that hold the string of
 a special token are encoded whole instead.
 
 Defined results: null text is empty and has the end id only; repeated doc_ids stand next to each other
@@ -41,7 +41,7 @@ from orrery.plans.scratch import drop, new_dir, written
 
 END = 2
 BLOCK_IDS = 1 << 19
-CACHE = 400_000
+CACHE = 300_000
 #: Characters with the Unicode property White_Space, as the tokenizer's pattern takes them.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
@@ -65,22 +65,46 @@ class Encoder:
         self.own = Tokenizer.from_file(path)
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.size = self.own.get_vocab_size()
+        # two generations: what is still in use when the young one is full moves to the next
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # a character of a byte-level token stands for a byte
+        self.bytes_of = np.zeros(self.size, np.int64)
+        for token, k in self.own.get_vocab().items():
+            self.bytes_of[k] = len(token)
 
     def _learn(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 4096):
-            part = pieces[k : k + 4096]
-            for p, e in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[p] = np.array(e.ids, "<u4").tobytes()
+        """Encode new pieces: those that begin with text in one go, a line each, cut by the tokens' bytes."""
+        plain = [p for p in pieces if not p[-1].isspace()]
+        self._one_by_one([p for p in pieces if p[-1].isspace()])
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
+            ids = np.array(self.own.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            end = np.cumsum([len(p.encode()) + 1 for p in part]) - 1
+            at = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
+            stop = np.searchsorted(at, end)
+            start = np.concatenate([[0], stop[:-1] + 1])
+            if at[-1] != end[-1] or (at[stop] != end).any() or (at[start[1:]] != end[:-1] + 1).any():
+                self._one_by_one(part)  # a token goes over a line's end
+                continue
+            raw = ids.tobytes()
+            self.cache.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, start.tolist(), stop.tolist(), strict=True))
+
+    def _one_by_one(self, pieces: list[str]) -> None:
+        for p, e in zip(pieces, self.own.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            self.cache[p] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [None if any(s in t for s in self.special) else PIECES.findall(t) for t in texts]
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         new = {p for c in cut if c for p in c}.difference(self.cache)
+        back = new.intersection(self.old)
+        self.cache.update((p, self.old[p]) for p in back)
+        new -= back
         # a comma or full stop after a letter, at the end of a piece, is a pre-token of its own
-        tail = [p for p in new if len(p) > 1 and p[-1] in ",." and p[-2].isascii() and p[-2].isalpha()]
+        tail = [p for p in new if p[-1] in ",." and p[-2:-1].isascii() and p[-2:-1].isalpha()]
         self._learn(list(new.difference(tail).union(p[:-1] for p in tail).union(",.").difference(self.cache)))
         for p in tail:
             self.cache[p] = self.cache[p[:-1]] + self.cache[p[-1]]
