@@ -1,8 +1,9 @@
 """Token ids as files of frequency-ranked, byte-aligned variable-length codes (operator 5).
 
-Every text is encoded whole with a public byte-level tokenizer, and an end id is appended.  Ids are
-ranked by how often they occur in the corpus, so the commonest take one byte.  A rank is stored in one
-to four little-endian bytes; its length less one stands in two bits of a separate control byte
+Every text is encoded whole with a public byte-level tokenizer, and an end id is appended.  Documents are
+range-partitioned by doc_id, and each task writes its range as files of some ``ROLL`` ids.  A file ranks its ids
+by how often they occur in it, so the commonest take one byte.  A rank is stored in one to four
+little-endian bytes; its length less one stands in two bits of a separate control byte
 for four ranks.  The reader expands control bytes by a table of 256 rows of four lengths.
 
 File format, little-endian: ``ORTK``, u32 version, u32 number of ids V, V u32 ids by rank; then blocks:
@@ -11,11 +12,11 @@ control bytes (ids / 4, rounded up); data bytes.  Files are in ascending doc_id
 
 The tokenizer splits at pre-token borders and encodes each pre-token by itself.  White space outside
 a leading blank never shares a pre-token with anything else, so the text is cut into such pieces, and
-each distinct piece is encoded by the tokenizer once for each cache, many pieces in one call.  Texts that hold the string of
+each distinct piece is encoded by the tokenizer once for as long as a worker's cache keeps it.  Texts that hold the string of
 a special token are encoded whole instead.
 
 Defined results: null text is empty and has the end id only; repeated doc_ids stand next to each other
-in the order of a hash of their ids; null doc_ids come first; an empty table writes no files and
+in the order of a hash of their texts; null doc_ids come first; an empty table writes no files and
 gives an empty result; other columns are ignored.
 """
 
@@ -27,21 +28,22 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.plans.scratch import drop, new_dir, written
+from orrery.plans.scratch import new_dir, written
 
 END = 2
-BLOCK_IDS = 1 << 19
-CACHE = 300_000
+BLOCK_IDS = 1 << 18
+ROLL = 1 << 24
+CACHE = 400_000
 #: Characters with the Unicode property White_Space, as the tokenizer's pattern takes them.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
@@ -56,7 +58,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Ids of whole texts, by pieces; ``cut`` only for a tokenizer whose pre-tokens keep the pieces apart."""
+    """Ids of whole texts, by pieces that are remembered."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,155 +67,130 @@ class Encoder:
         self.own = Tokenizer.from_file(path)
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.size = self.own.get_vocab_size()
+        self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         # two generations: what is still in use when the young one is full moves to the next
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        # a character of a byte-level token stands for a byte
-        self.bytes_of = np.zeros(self.size, np.int64)
-        for token, k in self.own.get_vocab().items():
-            self.bytes_of[k] = len(token)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces: those that begin with text in one go, a line each, cut by the tokens' bytes."""
-        plain = [p for p in pieces if not p[-1].isspace()]
-        self._one_by_one([p for p in pieces if p[-1].isspace()])
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            ids = np.array(self.own.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            end = np.cumsum([len(p.encode()) + 1 for p in part]) - 1
-            at = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
-            stop = np.searchsorted(at, end)
-            start = np.concatenate([[0], stop[:-1] + 1])
-            if at[-1] != end[-1] or (at[stop] != end).any() or (at[start[1:]] != end[:-1] + 1).any():
-                self._one_by_one(part)  # a token goes over a line's end
-                continue
-            raw = ids.tobytes()
-            self.cache.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, start.tolist(), stop.tolist(), strict=True))
-
-    def _one_by_one(self, pieces: list[str]) -> None:
-        for p, e in zip(pieces, self.own.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.cache[p] = np.array(e.ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if any(s in t for s in self.special) else PIECES.findall(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.old, self.cache = self.cache, {}
-        new = {p for c in cut if c for p in c}.difference(self.cache)
-        back = new.intersection(self.old)
-        self.cache.update((p, self.old[p]) for p in back)
-        new -= back
+    def _learn(self, new: set[str]) -> None:
+        self.cache.update((p, self.old[p]) for p in new.intersection(self.old))
+        new = new.difference(self.cache)
         # a comma or full stop after a letter, at the end of a piece, is a pre-token of its own
         tail = [p for p in new if p[-1] in ",." and p[-2:-1].isascii() and p[-2:-1].isalpha()]
-        self._learn(list(new.difference(tail).union(p[:-1] for p in tail).union(",.").difference(self.cache)))
+        pieces = list(new.difference(tail).union(p[:-1] for p in tail).union(",.").difference(self.cache))
+        for k in range(0, len(pieces), 8192):
+            part = pieces[k : k + 8192]
+            found = [e.ids for e in self.own.encode_batch_fast(part, add_special_tokens=False)]
+            raw, at = np.array([i for ids in found for i in ids], self.type).tobytes(), 0
+            for p, ids in zip(part, found, strict=True):
+                self.cache[p] = raw[at : (at := at + self.type.itemsize * len(ids))]
         for p in tail:
             self.cache[p] = self.cache[p[:-1]] + self.cache[p[-1]]
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) if c is not None else np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, c in zip(texts, cut, strict=True)]
 
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned integers of ``type``."""
+        if len(self.cache) > CACHE:
+            self.old, self.cache = self.cache, {}
+        cut = [None if any(x in t for x in self.special) else PIECES.findall(t) for t in texts]
+        out = [c and list(map(self.cache.get, c)) for c in cut]
+        holes = [[k for k, ids in enumerate(r) if ids is None] if r else () for r in out]
+        self._learn({c[k] for c, h in zip(cut, holes, strict=True) for k in h})
+        for c, r, h in zip(cut, out, holes, strict=True):
+            for k in h:
+                r[k] = self.cache[c[k]]
+        whole = lambda t: np.array(self.own.encode(t, add_special_tokens=False).ids, self.type).tobytes()
+        return [b"".join(r or ()) if c is not None else whole(t) for t, c, r in zip(texts, cut, out, strict=True)]
 
-def _encoder(path: str, end: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack, last = Encoder(path), zstandard.ZstdCompressor(level=1), np.array([end], "<u4").tobytes()
-        for batch in batches:
-            ids, texts = batch.column(0).cast(pa.int64()), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and size < 1 << 20:
-                    size += len(texts[to] or "")
-                    to += 1
-                out = [e + last for e in encode([t or "" for t in texts[at:to]])]
-                tie = [xxhash.xxh64_intdigest(e) - (1 << 63) for e in out]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), pa.array(tie, pa.int64()), pa.array([pack.compress(_narrow(e)) for e in out], pa.binary())], names=["doc_id", "tie", "ids"])
-                at = to
-
-    return run
-
-
-def _narrow(ids: bytes) -> bytes:
-    """Ids below 2**16 in two bytes, in two planes, for a tighter pack; a first byte tells."""
-    a = np.frombuffer(ids, "<u4")
-    if len(a) and a.max() >= 1 << 16:
-        return b"\1" + ids
-    return b"\0" + a.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
-
-
-def _widen(raw: bytes) -> np.ndarray:
-    if raw[:1] == b"\1":
-        return np.frombuffer(raw, "<u4", offset=1)
-    return np.frombuffer(raw, np.uint8, offset=1).reshape(2, -1).T.copy().view("<u2").ravel().astype("<u4")
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack, total = zstandard.ZstdDecompressor(), np.zeros(0, np.int64)
-    for batch in batches:
-        for raw in batch.column(0):
-            n = np.bincount(_widen(unpack.decompress(raw.as_py())))
-            if len(n) > len(total):
-                n[: len(total)] += total
-                total = n
-            else:
-                total[: len(n)] += n
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that what it remembers serves all tasks that the worker runs."""
+    return Encoder(path)
 
 
 def pack_ranks(rank: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes."""
-    size = 1 + (rank > 0xFF).astype(np.uint8) + (rank > 0xFFFF) + (rank > 0xFFFFFF)
-    pad = np.ones(-len(rank) % 4, np.uint8)
-    codes = (np.concatenate([size, pad]).astype(np.uint8) - 1).reshape(-1, 4)
+    size = np.ones(len(rank) + -len(rank) % 4, np.uint8)
+    for k in (8, 16, 24):
+        size[: len(rank)] += rank >= 1 << k
+    codes = (size - 1).reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    data = rank.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    wide = int(size.max(initial=1))
+    raw = rank.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide]
+    return control.tobytes(), raw[np.arange(wide, dtype=np.uint8) < size[: len(rank), None]].tobytes()
 
 
 def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """Ranks from control and data bytes, by table lookup."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").ravel()
-
+    wide = int(size.max(initial=1))
+    wide = 4 if wide == 3 else wide
+    out = np.zeros((n, wide), np.uint8)
+    out[np.arange(wide, dtype=np.uint8) < size[:, None]] = np.frombuffer(data, np.uint8)
+    return out.view(f"<u{wide}").ravel()
+
+
+def _write_file(folder: str, docs: list[tuple[int | None, np.ndarray]]) -> str:
+    """Write one file; its path."""
+    count = np.zeros(1, np.int64)
+    for at in range(0, len(docs), 4096):
+        n = np.bincount(np.concatenate([x for _, x in docs[at : at + 4096]]), minlength=len(count))
+        n[: len(count)] += count
+        count = n
+    used = np.flatnonzero(count)
+    ranked = used[np.argsort(-count[used], kind="stable")].astype("<u4")
+    rank = np.zeros(len(count), "<u4")
+    rank[ranked] = np.arange(len(ranked))
+    store, base = pafs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+    name = f"{uuid.uuid4().hex}.ortk"
+    with store.open_output_stream(f"{base}/{name}", compression=None) as sink:
+        sink.write(MAGIC + struct.pack("<II", 1, len(ranked)) + ranked.tobytes())
+        at = 0
+        while at < len(docs):
+            to, many = at, 0
+            while to < len(docs) and many < BLOCK_IDS:
+                many += len(docs[to][1])
+                to += 1
+            part, at = docs[at:to], to
+            control, data = pack_ranks(rank[np.concatenate([x for _, x in part])])
+            sink.write(struct.pack("<IQQ", len(part), many, len(data)))
+            sink.write(np.array([d or 0 for d, _ in part], "<i8").tobytes() + bytes(d is None for d, _ in part))
+            sink.write(np.array([len(x) for _, x in part], "<u4").tobytes() + control + data)
+    return f"{folder}/{name}"
+
+
+FILES = "file long, path string, first_doc long, docs long, ids long"
+
+
+def _writer(folder: str, path: str, end: int):
+    """Texts in doc_id order to files; a row for each file."""
 
-def _writer(folder: str, by_rank: bytes):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked = np.frombuffer(by_rank, "<u4")
-        rank = np.zeros(int(ranked.max(initial=0)) + 1, "<u4")
-        rank[ranked] = np.arange(len(ranked))
-        unpack, sink, path, first, docs, ids = zstandard.ZstdDecompressor(), None, "", None, 0, 0
-        held: list[tuple[int | None, np.ndarray]] = []
-
-        def flush() -> None:
-            if held:
-                a = rank[np.concatenate([x for _, x in held])]
-                control, data = pack_ranks(a)
-                sink.write(struct.pack("<IQQ", len(held), len(a), len(data)))
-                sink.write(np.array([d or 0 for d, _ in held], "<i8").tobytes() + bytes(d is None for d, _ in held))
-                sink.write(np.array([len(x) for _, x in held], "<u4").tobytes() + control + data)
-                held.clear()
-
-        many = 0
+        encode = encoder(path)
+        last, docs, many, made = np.array([end], encode.type).tobytes(), [], 0, 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal docs, many, made
+            row = {"file": [TaskContext.get().partitionId() << 24 | made], "path": [_write_file(folder, docs)], "first_doc": [docs[0][0]], "docs": [len(docs)], "ids": [many]}
+            docs, many, made = [], 0, made + 1
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([(x, pa.string() if x == "path" else pa.int64()) for x in row]))
+
         for batch in batches:
-            for d, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if sink is None:
-                    store, base = pafs.FileSystem.from_uri(folder)
-                    store.create_dir(base, recursive=True)
-                    path = f"{uuid.uuid4().hex}.ortk"
-                    sink, first = store.open_output_stream(f"{base}/{path}", compression=None), d
-                    sink.write(MAGIC + struct.pack("<II", 1, len(ranked)) + by_rank)
-                held.append((d, _widen(unpack.decompress(raw.as_py()))))
-                docs, ids, many = docs + 1, ids + len(held[-1][1]), many + len(held[-1][1])
-                if many >= BLOCK_IDS:
-                    flush()
-                    many = 0
-        if sink is not None:
-            flush()
-            sink.close()
-            from pyspark import TaskContext
-
-            yield pa.RecordBatch.from_pydict({"file": [TaskContext.get().partitionId()], "path": [f"{folder}/{path}"], "first_doc": [first], "docs": [docs], "ids": [ids]}, schema=pa.schema([("file", pa.int64()), ("path", pa.string()), ("first_doc", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
+            ids, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
+            while at < len(ids):
+                part, size = [], 0
+                while at + len(part) < len(ids) and size < 1 << 20:
+                    part.append(texts[at + len(part)].as_py() or "")
+                    size += len(part[-1])
+                for d, raw in zip(ids[at : at + len(part)], encode(part), strict=True):
+                    docs.append((d, np.frombuffer(raw + last, encode.type)))
+                    many += len(docs[-1][1])
+                    if many >= ROLL:
+                        yield close()
+                at += len(part)
+        if docs:
+            yield close()
 
     return write
 
@@ -222,13 +199,9 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
     """Encode ``docs`` (doc_id, text) into files; one row for each: file (its place), path, first_doc, docs, ids, start."""
     path, spark = path or tokenizer_path(), docs.sparkSession
     folder = folder or new_dir(spark, "tokens")
-    encoded = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoder(path, end), "doc_id long, tie long, ids binary"), "ids")
-    # one row for each id of the tokenizer's vocabulary at most
-    counts = encoded.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    by_rank = np.array([r.id for r in counts.orderBy(F.desc("n"), "id").collect()], "<u4").tobytes()
-    laid = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
-    files = written(laid.mapInArrow(_writer(folder, by_rank), "file long, path string, first_doc long, docs long, ids long"), "token-files")
-    drop(encoded)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
+    laid = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    files = written(laid.mapInArrow(_writer(folder, path, end), FILES), "token-files")
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
@@ -258,7 +231,7 @@ def _reader(with_ids: bool):
                     size = np.array([len(x) for x in parts], np.int64)
                     begin = start + np.cumsum(size) - size
                     start += int(size.sum())
-                    columns = [pa.array(docs, pa.int64()), pa.array(begin), pa.array(size), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in parts], pa.int64())]
+                    columns = [pa.array(docs, pa.int64()), pa.array(begin), pa.array(size), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
                     yield pa.RecordBatch.from_arrays([*columns, *([pa.array([x.astype(np.int64) for x in parts], pa.list_(pa.int64()))] if with_ids else [])], names=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
     return read
