@@ -11,7 +11,7 @@ components of the link graph without listing all pairs of a group.
     pair is out.  Sets of which too many parts are common for that to promise anything join all sets
     like them through those parts, and sets with too many empty parts through the prefix of their
     sorted hashes.  The components of that graph are the first regions: no link leaves one.
-2.  Regions with more than ``LEAF`` elements are split again: by size windows first, then by pivots.  Each
+2.  Regions with more than ``LEAF`` elements are split again by pivots, and at last by windows of size.  Each
     set goes to the cell of its nearest pivot (Voronoi), and also to every cell whose pivot is at
     most 2R farther, where by the triangle inequality a partner may live.  Sets within R of a
     pivot are linked to it, and dropped if no set outside that ball can be within R of them.
@@ -69,9 +69,8 @@ def slot_of(n: int) -> int:
 
 
 def slot_parts(slot: int) -> int:
-    """Parts of a slot: more than two linked sets whose smaller one is in it can differ in, and some for empty parts."""
-    top = int(np.ceil(SLOT ** (slot + 1)))
-    return top // 4 + 1 + max(2, top // 64)
+    """Parts of a slot: a quarter of its largest set's size, in which linked sets can differ, and some for empty parts."""
+    return int(np.ceil(SLOT ** (slot + 1) * 0.28)) + 4
 
 
 def signatures(s: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -384,7 +383,7 @@ def split_regions(members: DataFrame, level: int) -> tuple[DataFrame, DataFrame]
     home = F.when(least <= NEAR, F.array_position("d", least).cast("int") - 1).otherwise(F.lit(-1))
     window = F.filter(F.transform("d", lambda d, j: F.struct(d.alias("d"), j.alias("j"))), lambda x: (x["j"] != F.col("home")) & (x["d"] <= F.least(F.col("least") + 2 * R, F.lit(NEAR + R)) + EPS))
     cells = stays.withColumn("least", least).withColumn("home", home).select("region", "rep", F.explode(F.concat(F.array("home"), F.transform(window, lambda x: x["j"]))).alias("cell"))
-    new = members.join(cells, ["region", "rep"]).select("rep", F.xxhash64("region", "cell", F.lit(level)).alias("region"), "n", "elements")
+    new = members.join(small(written(cells, "cell-members"), SMALL), ["region", "rep"]).select("rep", F.xxhash64("region", "cell", F.lit(level)).alias("region"), "n", "elements")
     return written(new, "cells"), links
 
 
@@ -421,7 +420,7 @@ def region_links(members: DataFrame) -> DataFrame:
         rest = members.join(small(large.select("region"), 10_000), "region", "left_semi").select("rep", "region", "n", "elements")
         if level == LEVELS:
             members = in_blocks(rest, large)
-        elif level == 0:
+        elif level == LEVELS - 1:
             members = written(by_size(rest), "size-windows")
         else:
             members, more = split_regions(written(rest, "large-members"), level)
@@ -433,7 +432,7 @@ def region_links(members: DataFrame) -> DataFrame:
 def jaccard_rows(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, row, n, component_id, first) of each row; ``first``: the row that stands for its component."""
     pairs = docs.select(F.col("doc_id").cast("long"), "text")
-    buckets = 1 << max(6, min(20, (max(1, docs.count()) // 2000).bit_length()))
+    buckets = 1 << max(6, min(20, (max(1, docs.count()) // 1000).bit_length()))
     schema = ", ".join(f"{x} {'binary' if x == 'blob' else 'long'}" for x, _ in DOCS)
     both = pairs.mapInArrow(_first(buckets, k), schema).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_second, GROUPS)
     both = written(both, "groups")
