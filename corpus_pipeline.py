@@ -24,7 +24,8 @@ SURE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that the classifier knows."""
     model = langid.train(docs, held_out=None)
-    return langid.identify(docs, model, *docs.columns).where(F.col("lang_pred") != langid.UND).where(F.col("score") >= SURE).select(*docs.columns)
+    told = langid.identify(docs, model, F.struct(*docs.columns).alias("document"))
+    return told.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= SURE)).select("document.*")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,16 +83,15 @@ def order_key(doc_id: Column) -> Column:
     return F.coalesce((F.abs(doc_id % F.lit(KEYS - 1)) * F.lit(1103515245) + F.lit(12345)) % F.lit(KEYS), F.lit(0)).cast("long")
 
 
-def plan_mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """(doc_id, source, size, ...) to one row for each row: doc_id, size, source_size, target, taken, position, passes.
+def plan_mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0, rows_per_range: int = ROWS_PER_RANGE, label: Column | None = None) -> DataFrame:
+    """(doc_id, source, text) to one row for each row: doc_id, size, source_size, target, taken, position, passes.
 
-    ``docs`` needs doc_id, source and text or size; any further column named in ``docs`` as ``tag`` is kept.
     ``taken``: words taken, repeats counted; ``passes``: array of (position, words), one for each time
-    the document is used, in which the last may be a part of it.
+    the document is used, in which the last may be a part of it.  ``label``: a value of each row to carry as ``tag``.
     """
-    size = F.col("size").cast("long") if "size" in docs.columns else word_count(F.col("text"))
-    tag = ["tag"] if "tag" in docs.columns else []
-    narrow = written(docs.select("doc_id", "source", size.alias("size"), order_key(F.col("doc_id")).alias("key"), *tag), "mix-sizes")
+    tag = [] if label is None else ["tag"]
+    more = [] if label is None else [label.alias("tag")]
+    narrow = written(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), order_key(F.col("doc_id")).alias("key"), *more), "mix-sizes")
     ranges = max(1, -(-narrow.count() // rows_per_range))
     narrow = narrow.withColumn("part", F.floor(F.col("key") * F.lit(ranges) / F.lit(KEYS)).cast("long"))
     parts = written(narrow.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
@@ -112,7 +111,7 @@ def plan_mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: flo
         got = F.greatest(F.lit(0), F.least(F.col("size"), goal - at)).cast("long")
         when = None
         for kind, knots in enumerate(schedules):
-            due = inverse(knots, at / F.col("target"))
+            due = inverse(knots, at / F.nullif(F.col("target"), F.lit(0.0)))
             when = F.when(F.col("kind") == kind, due) if when is None else when.when(F.col("kind") == kind, due)
         passes.append(F.struct(F.round(when, 9).alias("position"), got.alias("words")))
     rows = rows.withColumn("passes", F.filter(F.array(*passes), lambda p: p["words"] > 0))
@@ -130,8 +129,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A use that the target cuts short counts if at least half of the document fits.
     """
-    tagged = docs.withColumn("tag", F.xxhash64("text"))
-    plan = plan_mix(tagged.select("doc_id", "source", "text", "tag"), **options)
-    use = plan.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.explode(F.filter("passes", lambda p: p["words"] * 2 >= F.col("size"))).alias("_use"))
-    out = tagged.join(use, tagged["doc_id"].eqNullSafe(use["_id"]) & (tagged["tag"] == use["_tag"]))
-    return out.orderBy(F.col("_use.position"), "doc_id").select(*docs.columns)
+    tag = F.xxhash64("text")
+    plan = plan_mix(docs, label=tag, **options)
+    use = plan.select("doc_id", "tag", F.explode(F.filter("passes", lambda p: p["words"] * 2 >= F.col("size"))).alias("use"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), tag.alias("mark"), F.struct(*docs.columns).alias("document"))
+    out = whole.join(use, whole["id"].eqNullSafe(use["doc_id"]) & (whole["mark"] == use["tag"]))
+    return out.orderBy(F.col("use.position"), "id").select("document.*")
