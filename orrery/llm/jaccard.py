@@ -70,7 +70,7 @@ def slot_of(n: int) -> int:
 
 def slot_parts(slot: int) -> int:
     """Parts of a slot: a quarter of its largest set's size, in which linked sets can differ, and some for empty parts."""
-    return int(np.ceil(SLOT ** (slot + 1) * 0.28)) + 4
+    return int(np.ceil(SLOT ** (slot + 1) * 0.3)) + 4
 
 
 def signatures(s: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -86,7 +86,8 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, list[int]]:
         found = mix(np.add.reduceat(mix(s ^ U64(0x5851F42D4C957F2D)), begin) + part[begin] * U64(0x2545F4914F6CDD1D) + U64(slot + 1))
         out.append(found & ~U64(3) | U64(slot & 1))
         count[slot & 1] = len(begin)
-        if len(begin) < n // 4 + 1:
+        # in the slot below its own a set is the larger of two
+        if len(begin) < (n // 4 if slot == own else 2 * n // 9) + 1:
             out.append(mix(s[: n - (4 * n + 4) // 5 + 1] + U64(0x1234567 + slot)) & ~U64(3) | U64(2))
     return np.concatenate(out), count
 
@@ -243,7 +244,9 @@ def candidate_edges(both: DataFrame) -> DataFrame:
     differ = F.floor((F.col("n_a") + F.col("n_b")) / 9)
     near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("count") >= rest - differ - 1)
     pairs = pairs.where(near).select("a", "b")
-    heavy = known.select("node", F.explode(F.array(*(F.when(F.col(f"left{k}") <= F.floor(F.col("n") / 4) + 1, F.lit(k)) for k in (0, 1)))).alias("parity")).where("parity is not null")
+    own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SLOT)) + 1e-12) % 2
+    most = [F.floor(F.when(own == k, F.col("n") / 4).otherwise(2 * F.col("n") / 9)) for k in (0, 1)]
+    heavy = known.select("node", F.explode(F.array(*(F.when(F.col(f"left{k}") <= most[k] + 1, F.lit(k)) for k in (0, 1)))).alias("parity")).where("parity is not null")
     joined = common.join(heavy, ["node", "parity"]).select("node", "sig")
     stars = joined.join(joined.groupBy("sig").agg(F.min("node").alias("first")), "sig").select(F.col("node").alias("a"), F.col("first").alias("b"))
     return both.where("kind = 1").select("a", "b").union(pairs).union(stars)
