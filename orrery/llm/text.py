@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
+BASES = (0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1)
 MASK = (1 << 64) - 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -21,18 +21,26 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLOCK = 1 << 20
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below ``n`` at least."""
-    if "up" not in _powers or len(_powers["up"]) < n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A base's powers and inverse powers modulo 2**64, for exponents below ``n`` at least."""
+    if which not in _powers or len(_powers[which][0]) < n:
         size = max(n, BLOCK + (1 << 16))
-        for key, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+        steps = [np.full(size, base, U64) for base in (BASES[which], pow(BASES[which], -1, 1 << 64))]
+        for x in steps:
+            x[0] = 1
+        _powers[which] = tuple(map(np.multiply.accumulate, steps))
+    return _powers[which]
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Polynomial hash of the bytes of each span, not mixed."""
+    up, down = powers(len(raw) + 1, which)
+    total = np.zeros(len(raw) + 1, U64)
+    np.cumsum(raw * up[: len(raw)], out=total[1:])
+    return (total[end] - total[start]) * down[start]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,11 +81,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     last[:-1] &= ~full[1:]
     last[heads[1:] - 1] = full[heads[1:] - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum(low * up[: len(raw)], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)), np.searchsorted(start, offsets)
+    return mix(span_hashes(low, start, end) + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)), np.searchsorted(start, offsets)
 
 
 def shingles(word: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

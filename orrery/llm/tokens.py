@@ -10,10 +10,10 @@ File format, little-endian: ``ORTK``, u32 version, u32 number of ids V, V u32 id
 u32 documents, u64 ids, u64 data bytes; i64 doc_id each; u8 1 if doc_id is null each; u32 ids of each;
 control bytes (ids / 4, rounded up); data bytes.  Files are in ascending doc_id order, and so are blocks.
 
-The tokenizer splits at pre-token borders and encodes each pre-token by itself.  White space outside
-a leading blank never shares a pre-token with anything else, so the text is cut into such pieces, and
-each distinct piece is encoded by the tokenizer once for as long as a worker's cache keeps it.  Texts that hold the string of
-a special token are encoded whole instead.
+The tokenizer splits at pre-token borders and encodes each pre-token by itself.  White space other than
+a leading blank never shares a pre-token with anything else, so a text is cut into such pieces, and each
+distinct piece is encoded by the tokenizer once, for as long as a worker remembers it.  Texts with
+white space beyond ASCII, or with the string of a special token, are encoded whole instead.
 
 Defined results: null text is empty and has the end id only; repeated doc_ids stand next to each other
 in the order of a hash of their texts; null doc_ids come first; an empty table writes no files and
@@ -23,12 +23,12 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.llm.text import SPACE, U64, mix, span_hashes, text_blocks
 from orrery.plans.scratch import new_dir, written
 
 END = 2
 BLOCK_IDS = 1 << 18
 ROLL = 1 << 24
-CACHE = 400_000
-#: Characters with the Unicode property White_Space, as the tokenizer's pattern takes them.
-BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PIECES = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+CACHE = 4_000_000
 MAGIC = b"ORTK"
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -57,49 +55,130 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def piece_starts(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the bytes of texts, none of which has white space beyond ASCII.
+
+    ``first``: where the (non-empty) texts begin.  Pieces cover all bytes.  A word takes the blank before it;
+    of several white-space characters before a word the last stands apart; at the end of a text they stay together.
+    """
+    blank = SPACE[raw]
+    head = np.zeros(len(raw) + 1, bool)
+    head[first] = True
+    head[-1] = True
+    after = np.ones(len(raw), bool)  # the byte before is white space, or there is none in the text
+    after[1:] = blank[:-1]
+    after[first] = True
+    start = head[:-1].copy()
+    start |= blank & ~after
+    word = np.flatnonzero(~blank & after & ~head[:-1])
+    start[word - 1] = True  # the last of the white space before a word
+    start[word[raw[word - 1] != 0x20]] = True
+    # a comma or full stop after a letter, at the end of a word, is a pre-token of its own
+    tail = ((raw == 0x2C) | (raw == 0x2E)) & ~head[:-1]
+    tail[1:] &= (raw[:-1] >= 97) & (raw[:-1] <= 122)
+    tail[:-1] &= blank[1:] | head[1:-1]
+    return np.flatnonzero(start | tail)
+
+
 class Encoder:
-    """Ids of whole texts, by pieces that are remembered."""
+    """Ids of whole texts, by pieces that are remembered in a table of hashes.
+
+    Pieces are found by two 64-bit hashes over different bases.  New ones go into a small sorted table, which is
+    merged into the large one as it grows; when that has ``CACHE`` rows it starts anew.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.own.get_added_tokens_decoder().values()]
         self.size = self.own.get_vocab_size()
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        # two generations: what is still in use when the young one is full moves to the next
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, new: set[str]) -> None:
-        self.cache.update((p, self.old[p]) for p in new.intersection(self.old))
-        new = new.difference(self.cache)
-        # a comma or full stop after a letter, at the end of a piece, is a pre-token of its own
-        tail = [p for p in new if p[-1] in ",." and p[-2:-1].isascii() and p[-2:-1].isalpha()]
-        pieces = list(new.difference(tail).union(p[:-1] for p in tail).union(",.").difference(self.cache))
-        for k in range(0, len(pieces), 8192):
-            part = pieces[k : k + 8192]
-            found = [e.ids for e in self.own.encode_batch_fast(part, add_special_tokens=False)]
-            raw, at = np.array([i for ids in found for i in ids], self.type).tobytes(), 0
-            for p, ids in zip(part, found, strict=True):
-                self.cache[p] = raw[at : (at := at + self.type.itemsize * len(ids))]
-        for p in tail:
-            self.cache[p] = self.cache[p[:-1]] + self.cache[p[-1]]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned integers of ``type``."""
-        if len(self.cache) > CACHE:
-            self.old, self.cache = self.cache, {}
-        cut = [None if any(x in t for x in self.special) else PIECES.findall(t) for t in texts]
-        out = [c and list(map(self.cache.get, c)) for c in cut]
-        holes = [[k for k, ids in enumerate(r) if ids is None] if r else () for r in out]
-        self._learn({c[k] for c, h in zip(cut, holes, strict=True) for k in h})
-        for c, r, h in zip(cut, out, holes, strict=True):
-            for k in h:
-                r[k] = self.cache[c[k]]
-        whole = lambda t: np.array(self.own.encode(t, add_special_tokens=False).ids, self.type).tobytes()
-        return [b"".join(r or ()) if c is not None else whole(t) for t, c, r in zip(texts, cut, out, strict=True)]
+        self._forget()
+
+    def _forget(self) -> None:
+        # tables of (hash, check, place in pool, ids), sorted by hash: a large one and a small one
+        self.tables = [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in range(2)]
+        self.pool, self.used = np.zeros(1 << 16, self.type), 0
+
+    def _find(self, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of each piece; -1 where it is not known."""
+        place, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int32)
+        for hashes, checks, places, counts in self.tables:
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                hit = (hashes[at] == h) & (checks[at] == check)
+                place[hit], count[hit] = places[at[hit]], counts[at[hit]]
+        return place, count
+
+    def _learn(self, h: np.ndarray, check: np.ndarray, pieces: list[str]) -> None:
+        if len(self.tables[0][0]) + len(self.tables[1][0]) + len(h) > CACHE:
+            self._forget()
+        found = [e.ids for e in self.own.encode_batch_fast(pieces, add_special_tokens=False)]
+        count = np.fromiter(map(len, found), np.int32, len(found))
+        ids = np.fromiter(chain.from_iterable(found), self.type, int(count.sum()))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        new = (h, check, self.used + np.cumsum(count) - count, count)
+        self.used += len(ids)
+        self.tables[1] = self._merged(self.tables[1], new)
+        if len(self.tables[1][0]) > max(20_000, len(self.tables[0][0]) // 8):
+            self.tables = [self._merged(*self.tables), tuple(x[:0] for x in new)]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate(x)[order] for x in zip(a, b, strict=True))
+
+    def _plain(self, raw: bytes) -> np.ndarray:
+        return np.array(self.own.encode(raw.decode(), add_special_tokens=False).ids, self.type)
+
+    def odd(self, raw: np.ndarray, offsets: np.ndarray) -> set[int]:
+        """Texts with other white space, or with the string of a special token."""
+        a, b, c = (np.concatenate([raw[k:], np.zeros(k, np.uint8)]) for k in (0, 1, 2))
+        lead = np.flatnonzero((a == 0xC2) | (a >= 0xE1) & (a <= 0xE3))
+        a, b, c = a[lead], b[lead], c[lead]
+        wide = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        wide |= (a == 0xE2) & ((b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+        at, whole = lead[wide].tolist(), raw.tobytes()
+        for x in self.special:
+            k = whole.find(x)
+            while k >= 0:
+                at.append(k)
+                k = whole.find(x, k + 1)
+        return set((np.searchsorted(offsets, at, side="right") - 1).tolist())
+
+    def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a block (see ``text_blocks``), in ``type``."""
+        n = len(offsets) - 1
+        if not len(raw):
+            return [self.pool[:0]] * n
+        odd = self.odd(raw, offsets)
+        full = np.diff(offsets) > 0
+        start = piece_starts(raw, offsets[:-1][full])
+        end = np.append(start[1:], len(raw))
+        size = (end - start).astype(U64)
+        h, check = (mix(span_hashes(raw, start, end, base) + size * U64(0xD6E8FEB86659FD93)) for base in (0, 1))
+        known, back = np.unique(h, return_inverse=True)
+        one = np.zeros(len(known), np.int64)
+        one[back] = np.arange(len(h))
+        if (check != check[one][back]).any():  # two pieces of this block share a hash
+            return [self._plain(raw[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        place, count = self._find(known, check[one])
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            used = self.used
+            self._learn(known[new], check[one][new], [raw[a:b].tobytes().decode() for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
+            if self.used < used:  # it has forgotten what this block had found
+                return self(raw, offsets)
+            place[new], count[new] = self._find(known[new], check[one][new])
+        place, count = place[back], count[back].astype(np.int64)
+        stop = np.cumsum(count)
+        ids = self.pool[np.repeat(place - (stop - count), count) + np.arange(stop[-1])]
+        cut = np.append(0, stop)[np.searchsorted(start, offsets)]
+        return [self._plain(raw[offsets[d] : offsets[d + 1]].tobytes()) if d in odd else ids[cut[d] : cut[d + 1]] for d in range(n)]
 
 
 @lru_cache(1)
@@ -168,7 +247,7 @@ def _writer(folder: str, path: str, end: int):
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        last, docs, many, made = np.array([end], encode.type).tobytes(), [], 0, 0
+        last, docs, many, made = np.array([end], encode.type), [], 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal docs, many, made
@@ -177,18 +256,13 @@ def _writer(folder: str, path: str, end: int):
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([(x, pa.string() if x == "path" else pa.int64()) for x in row]))
 
         for batch in batches:
-            ids, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
-            while at < len(ids):
-                part, size = [], 0
-                while at + len(part) < len(ids) and size < 1 << 20:
-                    part.append(texts[at + len(part)].as_py() or "")
-                    size += len(part[-1])
-                for d, raw in zip(ids[at : at + len(part)], encode(part), strict=True):
-                    docs.append((d, np.frombuffer(raw + last, encode.type)))
+            ids = batch.column(0).to_pylist()
+            for i, j, raw, offs in text_blocks(batch.column(1)):
+                for d, found in zip(ids[i:j], encode(raw, offs), strict=True):
+                    docs.append((d, np.concatenate([found, last])))
                     many += len(docs[-1][1])
                     if many >= ROLL:
                         yield close()
-                at += len(part)
         if docs:
             yield close()
 

@@ -5,11 +5,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from orrery.llm import exact_dedup, tokens, warc
+from orrery.llm.text import text_blocks
 from tests.llm.common import ODD, docs, edited, prose
 
 
@@ -28,8 +30,20 @@ def encoder():
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.text(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 ᠎ ​ 　'slltvre.,;!aA1é٣½日<|endoftext|>", max_size=30), max_size=4))
 def test_encoder_agrees_with_the_tokenizer(plain, encoder, texts):
-    for t, got in zip(texts, encoder(texts), strict=True):
-        assert np.frombuffer(got, encoder.type).tolist() == plain.encode(t, add_special_tokens=False).ids
+    check(plain, encoder, texts)
+
+
+def check(plain, encoder, texts):
+    for i, j, raw, offs in text_blocks(pa.array(texts, pa.string())):
+        for t, got in zip(texts[i:j], encoder(raw, offs), strict=True):
+            assert got.tolist() == plain.encode(t or "", add_special_tokens=False).ids
+
+
+def test_encoder_forgets_and_learns_anew(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 200)
+    own, rng = tokens.Encoder(tokens.tokenizer_path()), random.Random(5)
+    for _ in range(20):
+        check(plain, own, [prose(rng, 30), "the same words", None, "", prose(rng, 50), "x. y, z.\n"])
 
 
 @settings(max_examples=200, deadline=None)
@@ -117,9 +131,7 @@ def test_a_shared_digest_is_found_by_its_bytes(spark, monkeypatch):
             return b"same for all"
 
     monkeypatch.setattr(exact_dedup.hashlib, "blake2b", Weak)
-    # the task runs in another process: run it here
-    import pyarrow as pa
-
+    # tasks run in another process: run one here
     out = [r for b in exact_dedup._recipes(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a", "b"]})])) for r in b.to_pylist()]
     assert [r["bytes"] for r in out if r["is_chunk"]] == [b"a", b"b"]
 
