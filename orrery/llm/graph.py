@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.plans.scratch import drop, written
 
 ROUNDS = 40
+#: Edges that a task puts together before the first round.
+EDGES = 500_000
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,6 +35,15 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[root[rest]]
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges to a forest with the same components."""
+    parts = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches if b.num_rows]
+    if parts:
+        a, b = local_roots(*np.concatenate(parts, 1))
+        for at in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=["a", "b"])
+
+
 def _digest(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -38,9 +52,13 @@ def _digest(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) to (node, root): every node of an edge, with the smallest node it is connected to.
 
+    Tasks first replace ``EDGES`` edges each by a forest, so that a dense group has few edges in the rounds.
     Each step is written to the shared folder; a step's input is dropped once it is replaced.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    raw = written(edges.where("a <> b").select("a", "b"), "edges")
+    forest = raw.repartition(max(1, -(-raw.count() // EDGES))).mapInArrow(_contract, "a long, b long")
+    edges = written(forest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    drop(raw)
     state = _digest(edges)
     for _ in range(ROUNDS):
         both = edges.union(edges.select(F.col("b"), F.col("a")))
