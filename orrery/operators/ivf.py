@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from orrery.functions.distance import metric, pairwise
 from orrery.operators import topk
@@ -44,7 +45,7 @@ def _cells(centroids: np.ndarray, name: str):
 
 def assign(vectors: DataFrame, centroids: np.ndarray, name: str = "l2") -> DataFrame:
     """``vectors`` with cid, the nearest centroid's number; of equal ones the lowest."""
-    schema = vectors.schema.add("cid", "int") if "cid" not in vectors.columns else vectors.schema
+    schema = StructType([*vectors.schema.fields, StructField("cid", IntegerType())])
     return vectors.mapInArrow(_cells(centroids, name), schema)
 
 

@@ -489,7 +489,7 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 
 def _base(spark: SparkSession, d: str) -> DataFrame:
     users = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("vec_id")).distinct()
-    more = users.select(F.col("vec_id") + 1_000_000).union(users)
+    more = users.union(users.select(F.col("vec_id") + 1_000_000))
     return more.select("vec_id", F.lit("base").cast("binary").alias("payload"))
 
 
