@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from orrery.llm import decontamination, jaccard, langid, mixing, tokens
 from orrery.plans.scratch import small, written
 
-SURE = 0.5
+SURE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.graph import components, local_roots
 from orrery.llm.text import U64, mix, shingles, text_blocks, words
-from orrery.plans.scratch import small, written
+from orrery.plans.scratch import passing, small, written
 
 K = 5
 #: Links: 100 * intersection >= PERCENT * union; R is the same as a distance.
@@ -440,16 +440,20 @@ def jaccard_rows(docs: DataFrame, k: int = K) -> DataFrame:
     both = pairs.mapInArrow(_first(buckets, k), schema).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_second, GROUPS)
     both = written(both, "groups")
     rows = both.where("kind = 0").select("doc_id", "row", "n", "fa", "fb")
-    regions = components(candidate_edges(both))
-    sets = rows.where("n > 0 and doc_id is not null").groupBy("n", "fa", "fb").agg(F.min(F.struct("doc_id", "row")).alias("rep"))
-    sets = written(sets, "sets")
-    node = F.col("fa").bitwiseAND(F.lit((1 << 48) - 1))
-    known = sets.select(F.col("rep.doc_id").alias("rep"), "fa", "fb", node.alias("node")).join(regions, "node").select("rep", F.col("root").alias("region"), "fa", "fb")
-    known = written(known, "region-members")
-    texts = pairs.join(small(known, SMALL), pairs["doc_id"] == known["rep"]).select("rep", "region", "fa", "fb", "text")
-    members = written(texts.mapInArrow(_sets(k), "rep long, region long, n long, elements binary"), "members")
-    linked_ = components(region_links(members))
-    named = sets.join(linked_, sets["rep.doc_id"] == linked_["node"], "left").select("n", "fa", "fb", F.col("rep.row").alias("rep_row"), F.coalesce("root", F.col("rep.doc_id")).alias("component_id"))
+    keep: list[DataFrame] = []
+    with passing(keep):
+        regions = components(candidate_edges(both))
+        sets = rows.where("n > 0 and doc_id is not null").groupBy("n", "fa", "fb").agg(F.min(F.struct("doc_id", "row")).alias("rep"))
+        sets = written(sets, "sets")
+        node = F.col("fa").bitwiseAND(F.lit((1 << 48) - 1))
+        known = sets.select(F.col("rep.doc_id").alias("rep"), "fa", "fb", node.alias("node")).join(regions, "node").select("rep", F.col("root").alias("region"), "fa", "fb")
+        known = written(known, "region-members")
+        texts = pairs.join(small(known, SMALL), pairs["doc_id"] == known["rep"]).select("rep", "region", "fa", "fb", "text")
+        members = written(texts.mapInArrow(_sets(k), "rep long, region long, n long, elements binary"), "members")
+        named = components(region_links(members))
+        named = sets.join(named, sets["rep.doc_id"] == named["node"], "left").select("n", "fa", "fb", F.col("rep.row").alias("rep_row"), F.coalesce("root", F.col("rep.doc_id")).alias("component_id"))
+        keep.append(written(named, "named"))
+    named = keep[0]
     some = rows.where("n > 0").join(named, ["n", "fa", "fb"], "left")
     alone = rows.where("n = 0").select("doc_id", "row", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     return some.select("doc_id", "row", "n", "component_id", F.coalesce((F.col("row") == F.col("rep_row")) & (F.col("doc_id") == F.col("component_id")), F.lit(True)).alias("first")).union(alone)

@@ -125,10 +125,15 @@ def fit(texts: list[str], labels: list[str], epochs: int = 3, alpha: float = 0.3
     logits = np.array([tf @ model.table[f] + model.bias for f, tf, _ in dev])
     gold = np.array([y for *_, y in dev])
 
+    # Platt's targets: a row that is told right is not told with certainty, so separable rows leave t above 0
+    sure = (len(gold) + 1) / (len(gold) + 2)
+    target = np.full(logits.shape, (1 - sure) / max(len(langs) - 1, 1))
+    target[np.arange(len(gold)), gold] = sure
+
     def loss(t: float) -> float:
         s = logits / t
         s -= s.max(1, keepdims=True)
-        return float(np.mean(np.log(np.exp(s).sum(1)) - s[np.arange(len(gold)), gold]))
+        return float(np.mean(np.log(np.exp(s).sum(1)) - (target * s).sum(1)))
 
     low, high = np.log(0.05), np.log(20.0)
     for _ in range(60):  # golden section on log t

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.plans.scratch import small, written
+from orrery.plans.scratch import passing, small, written
 
 EVERY = 4
 SMALL = 1_000_000
@@ -47,14 +47,17 @@ def chunked(docs: DataFrame, every: int = EVERY) -> DataFrame:
 def dedup_lines(docs: DataFrame, every: int = EVERY) -> DataFrame:
     """(doc_id, n_lines, removed_lines, removed_chunks, text) for each row of ``docs`` (doc_id, text)."""
     rows = written(chunked(docs, every), "chunks")
-    flat = rows.select("row", "doc_id", F.posexplode(F.arrays_zip("n_lines", "hashes")).alias("k", "c")).where("c.n_lines > 1")
-    repeated = written(flat.groupBy(F.col("c.hashes").alias("hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
-    full = rows.select("row", "doc_id", F.posexplode(F.arrays_zip("n_lines", "hashes", "texts")).alias("k", "c"))
-    full = full.where("c.n_lines > 1").select("row", "doc_id", "k", F.col("c.hashes").alias("hash"), F.col("c.n_lines").alias("n_lines"), F.col("c.texts").alias("chunk"))
-    some = written(full.join(small(repeated, SMALL), "hash", "left_semi"), "repeated-chunks")
-    first = some.groupBy("hash", "chunk").agg(F.min(F.struct("doc_id", "row", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = some.join(first, ["hash", "chunk"]).where("row != first.row or k != first.k")
-    gone = written(gone.groupBy("row").agg(F.collect_list("k").alias("gone"), F.sum("n_lines").alias("removed_lines")), "gone")
+    keep: list[DataFrame] = []
+    with passing(keep):
+        flat = rows.select("row", "doc_id", F.posexplode(F.arrays_zip("n_lines", "hashes")).alias("k", "c")).where("c.n_lines > 1")
+        repeated = written(flat.groupBy(F.col("c.hashes").alias("hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
+        full = rows.select("row", "doc_id", F.posexplode(F.arrays_zip("n_lines", "hashes", "texts")).alias("k", "c"))
+        full = full.where("c.n_lines > 1").select("row", "doc_id", "k", F.col("c.hashes").alias("hash"), F.col("c.n_lines").alias("n_lines"), F.col("c.texts").alias("chunk"))
+        some = written(full.join(small(repeated, SMALL), "hash", "left_semi"), "repeated-chunks")
+        first = some.groupBy("hash", "chunk").agg(F.min(F.struct("doc_id", "row", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        gone = some.join(first, ["hash", "chunk"]).where("row != first.row or k != first.k")
+        keep.append(written(gone.groupBy("row").agg(F.collect_list("k").alias("gone"), F.sum("n_lines").alias("removed_lines")), "gone"))
+    gone = keep[0]
     out = rows.join(small(gone, SMALL), "row", "left")
     stays = F.filter("texts", lambda _, k: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), k))
     text = F.when(~F.col("is_null"), F.when(F.col("gone").isNull(), F.array_join("texts", "\n")).otherwise(F.array_join(stays, "\n")))

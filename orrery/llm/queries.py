@@ -61,6 +61,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_shared_passages, op3_html_text, op4_mix_curriculum, op5_token_files, op6_jaccard_components, op7_line_chunks, op8_decontaminate, op9_warc_round_trip, op10_exact_dedup, pipeline)}
 
 SQL = {
+    "op6_jaccard_components": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, w[i : i + 4] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)
+  UNION ALL SELECT doc_id, w FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(s) AS n FROM (SELECT doc_id FROM documents) LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM c JOIN n x ON c.a = x.doc_id JOIN n y ON c.b = y.doc_id WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT b, root FROM r JOIN links ON r.doc_id = links.a)
+SELECT doc_id, n AS n_shingles, min(root) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id, n""",
     "op8_decontaminate": """
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
