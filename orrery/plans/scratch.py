@@ -8,14 +8,18 @@ unset (tests, one machine) a folder of our own takes its place.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_open: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +42,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of it."""
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+@contextlib.contextmanager
+def passing(keep: list[DataFrame]) -> Iterator[None]:
+    """Tables written inside are dropped at the end, but for those put into ``keep``.
+
+    What leaves the block must not read a dropped table: write it, and keep it.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        mine = _open.pop()
+        for df in mine:
+            if not any(df is k for k in keep):
+                drop(df)
+            elif _open:
+                _open[-1].append(df)
 
 
 def drop(df: DataFrame) -> None:
