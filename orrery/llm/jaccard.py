@@ -318,14 +318,14 @@ def join_region(sets: list[np.ndarray], names: list[int]) -> list[tuple[int, int
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by region to the links of each region."""
+    """Rows sorted by region to a forest of the links of each region."""
     at, sets, names = None, [], []
 
     def close() -> list[pa.RecordBatch]:
         if len(names) < 2:
             return []
-        a, b = zip(*(join_region(sets, names) or [(0, 0)]), strict=True)
-        return [pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])]
+        links = np.array(join_region(sets, names), np.int64).reshape(-1, 2)
+        return [pa.RecordBatch.from_arrays([pa.array(x) for x in local_roots(links[:, 0], links[:, 1])], names=["a", "b"])]
 
     for batch in batches:
         for rep, region, elements in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
