@@ -117,6 +117,18 @@ def test_passages(spark):
     assert passages.shared_passages(docs(spark, ["a"]).where("false")).collect() == []
 
 
+def test_an_equal_passage_in_an_unlike_chain_is_found(spark):
+    rng = random.Random(21)
+    base = prose(rng, 60).split(" ")
+    rest = [prose(rng, 1) for _ in range(300)]
+    loose = [w if k % 12 < 7 else prose(rng, 1) for k, w in enumerate(rest)]
+    texts = [" ".join(base + rest), " ".join(base + loose), prose(rng, 200)]
+    got = passages.shared_passages(docs(spark, texts)).collect()
+    assert {r.doc_id for r in got} == {0, 1}
+    assert any(r.doc_id == 1 and r.start_word == 0 and r.n_words >= 60 for r in got)
+    assert passages.exact_runs([1, 2, 3, 4, 9, 5, 6, 7], [5, 6, 7, 0, 1, 2, 3, 4], 3) == [(0, 4, 4), (5, 0, 3)]
+
+
 def test_fragments_of_a_passage_are_put_together(spark):
     rng = random.Random(12)
     w = prose(rng, 60).split(" ")
