@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from orrery.llm import decontamination, jaccard, langid, mixing, tokens
 from orrery.plans.scratch import small, written
+from orrery.plans.ship import shipped
 
 SURE = 0.35
 
 
+@shipped
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that the classifier knows."""
     model = langid.train(docs, held_out=None)
@@ -28,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= SURE)).select("document.*")
 
 
+@shipped
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, the one with the smallest doc_id."""
     rows = written(jaccard.jaccard_rows(docs).select("doc_id", "first"), "groups")
@@ -36,16 +39,19 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.dropDuplicates(["doc_id"]) if repeated.take(1) else out
 
 
+@shipped
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that hold no benchmark item."""
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@shipped
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
     return mixing.mixed_documents(docs)
 
 
+@shipped
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write token files and read each document's entry back from them."""
     return tokens.read_tokens(tokens.write_tokens(docs))

@@ -117,6 +117,15 @@ def test_passages(spark):
     assert passages.shared_passages(docs(spark, ["a"]).where("false")).collect() == []
 
 
+def test_texts_that_repeat_themselves(spark):
+    rng = random.Random(22)
+    lines = [prose(rng, 7) for _ in range(3)]
+    texts = ["again " * 300, "\n".join(lines * 20), prose(rng, 100), "again " * 300, "\n".join(lines * 20), "\n".join(lines * 9)]
+    got = passages.shared_passages(docs(spark, texts)).collect()
+    assert {r.doc_id for r in got} == {0, 1, 3, 4, 5}
+    assert max(r.n_words for r in got if r.doc_id == 3) == 300 and max(r.n_words for r in got if r.doc_id == 4) == 420
+
+
 def test_an_equal_passage_in_an_unlike_chain_is_found(spark):
     rng = random.Random(21)
     base = prose(rng, 60).split(" ")
