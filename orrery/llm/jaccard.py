@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.graph import components, local_roots
-from orrery.llm.text import U64, mix, shingles, text_blocks, words
+from orrery.llm.text import U64, mix, release, shingles, text_blocks, words
 from orrery.plans.scratch import passing, small, written
 
 K = 5
@@ -48,7 +48,7 @@ K = 5
 PERCENT = 80
 R = 0.2
 SLOT = 1.6
-LEAF = 1_500_000
+LEAF = 1_000_000
 PIVOTS = 8
 LEVELS = 4
 NEAR = 0.7
@@ -56,6 +56,8 @@ EPS = 1e-9
 SALT_ROWS = 2000
 SMALL = 300_000
 FEW = 8
+#: Signatures, or rows of groups, that a task holds before it passes them on.
+HELD = 500_000
 #: The bits of a signature after those of its bucket, with its lowest two; the low 48 bits of a set's first fingerprint.
 ENTRY = np.dtype([("sig", "u1", 5), ("node", "u1", 6)])
 
@@ -114,32 +116,42 @@ def _first(buckets: int, k: int):
     bits = (buckets - 1).bit_length()
     schema = pa.schema(DOCS)
 
+    def packed(docs: list[tuple], sigs: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+        """Document rows, and a row for each bucket with its entries."""
+        if sigs:
+            sig, node = np.concatenate(sigs), np.concatenate(nodes)
+            order = np.argsort(sig, kind="stable")
+            sig, node = sig[order], node[order]
+            entry = np.empty(len(sig), ENTRY)
+            kept = (sig << U64(bits)) & ~U64((1 << 26) - 1) | (sig & U64(3)) << U64(24)
+            entry["sig"] = kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            entry["node"] = node.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 2:]
+            bucket = (sig >> U64(64 - bits)).astype(np.int64)
+            begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends = [*begin[1:].tolist(), len(sig)]
+            docs = docs + [(int(bucket[a]), *[None] * 7, entry[a:b].tobytes()) for a, b in zip(begin.tolist(), ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*docs, strict=True), schema.types, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
+        docs, sigs, nodes, seen, held = [], [], [], {}, 0
         for batch in batches:
-            ids, docs, sigs, nodes, seen = batch.column(0).cast(pa.int64()).to_pylist(), [], [], [], {}
+            ids = batch.column(0).cast(pa.int64()).to_pylist()
             for r, s in sets_of(batch.column(1), k):
                 fa, fb = fingerprints(s)
                 if len(s) and (fa, fb) not in seen:
                     sig, seen[fa, fb] = signatures(s)
                     sigs.append(sig)
                     nodes.append(np.full(len(sig), fa, np.int64))
+                    held += len(sig)
                 docs.append((row % buckets, ids[r], row, len(s), fa, fb, *(seen[fa, fb] if len(s) else (0, 0)), None))
                 row += 1
-            if sigs:
-                sig, node = np.concatenate(sigs), np.concatenate(nodes)
-                order = np.argsort(sig, kind="stable")
-                sig, node = sig[order], node[order]
-                entry = np.empty(len(sig), ENTRY)
-                kept = (sig << U64(bits)) & ~U64((1 << 26) - 1) | (sig & U64(3)) << U64(24)
-                entry["sig"] = kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                entry["node"] = node.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 2:]
-                bucket = (sig >> U64(64 - bits)).astype(np.int64)
-                begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                ends = [*begin[1:].tolist(), len(sig)]
-                docs += [(int(bucket[a]), *[None] * 7, entry[a:b].tobytes()) for a, b in zip(begin.tolist(), ends, strict=True)]
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*docs, strict=True), schema.types, strict=True)], schema=schema)
+                if held >= HELD:
+                    yield packed(docs, sigs, nodes)
+                    docs, sigs, nodes, seen, held = [], [], [], {}, 0
+        if docs:
+            yield packed(docs, sigs, nodes)
+        release()
 
     return run
 
@@ -210,7 +222,7 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs.append(two)
             # the bucket's number makes the signature whole
             yield from out(3, common[0], common[1] | bucket << 40, common[2])
-            if sum(x.shape[1] for x in pairs) + sum(x.shape[1] for x in edges) > 2_000_000:
+            if sum(x.shape[1] for x in pairs) + sum(x.shape[1] for x in edges) > HELD:
                 yield from flush()
 
     for batch in batches:
@@ -226,6 +238,7 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(blob.as_py())
     yield from close()
     yield from flush()
+    release()
 
 
 def candidate_edges(both: DataFrame) -> DataFrame:
@@ -335,6 +348,7 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets.append(np.frombuffer(elements.as_py(), U64))
             names.append(rep.as_py())
     yield from close()
+    release()
 
 
 def leaf_links(members: DataFrame) -> DataFrame:

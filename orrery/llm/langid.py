@@ -65,8 +65,8 @@ class Model:
     def logits(self, text: str) -> np.ndarray:
         total, count = np.zeros(len(self.langs)), 0
         for g in grams(text):
-            for at in range(0, len(g), 1 << 16):
-                total += self.table[g[at : at + (1 << 16)]].sum(0, dtype=np.float64)
+            for at in range(0, len(g), 1 << 14):
+                total += self.table[g[at : at + (1 << 14)]].sum(0, dtype=np.float64)
             count += len(g)
         return total / max(count, 1) + self.bias
 

@@ -7,6 +7,8 @@ megabyte so that temporary arrays stay small whatever the Arrow batch holds.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +45,13 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     return (total[end] - total[start]) * down[start]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker is kept for later tasks, with all it has ever freed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the C library of GNU
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit (splitmix64's finaliser)."""
     x = np.bitwise_xor(x, x >> U64(30)) * U64(0xBF58476D1CE4E5B9)

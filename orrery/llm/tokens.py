@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.llm.text import SPACE, U64, mix, span_hashes, text_blocks
+from orrery.llm.text import SPACE, U64, mix, release, span_hashes, text_blocks
 from orrery.plans.scratch import new_dir, written
 
 END = 2
 BLOCK_IDS = 1 << 18
-ROLL = 1 << 24
-CACHE = 4_000_000
+ROLL = 1 << 23
+CACHE = 1_500_000
 MAGIC = b"ORTK"
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -265,6 +265,7 @@ def _writer(folder: str, path: str, end: int):
                         yield close()
         if docs:
             yield close()
+        release()
 
     return write
 
