@@ -449,9 +449,10 @@ def region_links(members: DataFrame) -> DataFrame:
 def jaccard_rows(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, row, n, component_id, first) of each row; ``first``: the row that stands for its component."""
     pairs = docs.select(F.col("doc_id").cast("long"), "text")
+    # a bucket for some thousand documents, and a task for some eight buckets, at any size
     buckets = 1 << max(6, min(20, (max(1, docs.count()) // 1000).bit_length()))
     schema = ", ".join(f"{x} {'binary' if x == 'blob' else 'long'}" for x, _ in DOCS)
-    both = pairs.mapInArrow(_first(buckets, k), schema).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_second, GROUPS)
+    both = pairs.mapInArrow(_first(buckets, k), schema).repartition(buckets // 8, "bucket").sortWithinPartitions("bucket").mapInArrow(_second, GROUPS)
     both = written(both, "groups")
     rows = both.where("kind = 0").select("doc_id", "row", "n", "fa", "fb")
     keep: list[DataFrame] = []
