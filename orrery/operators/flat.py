@@ -65,6 +65,14 @@ class FlatIndex:
         gone = gone if self.tombstones is None else self.tombstones.union(gone).distinct()
         return replace(self, tombstones=gone), status
 
+    def get(self, ids: DataFrame) -> DataFrame:
+        """The rows of ids (vec_id), deleted ones too, until the index is compacted."""
+        return self.vectors.join(ids.select("vec_id").distinct(), "vec_id", "left_semi")
+
+    def is_deleted(self, ids: DataFrame) -> DataFrame:
+        """(vec_id, is_deleted) of each id; one that the index does not have counts as deleted."""
+        return delete_status(self.live(), ids).select("vec_id", (~F.col("deleted")).alias("is_deleted"))
+
     def count(self) -> int:
         return self.live().count()
 

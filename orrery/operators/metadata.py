@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.sources.store import load_version, save_version
+
 
 def upsert(store: DataFrame, changes: DataFrame) -> DataFrame:
     """(vec_id, metadata): of each id the change with the highest version, else what it had.
@@ -43,3 +45,12 @@ def contains(text: str) -> Column:
 def field_is(path: str, value: str) -> Column:
     """Filter: a field of JSON metadata has a value."""
     return F.coalesce(F.get_json_object("metadata", path) == value, F.lit(False))
+
+
+def save(store: DataFrame, path: str) -> int:
+    """Write the store as a new version; its number.  An empty store is a version like any other."""
+    return save_version(store.sparkSession, path, {"metadata": store.select("vec_id", "metadata")}, {"kind": "metadata"})
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    return load_version(spark, path, "metadata", version)[0]["metadata"]

@@ -230,6 +230,13 @@ def meta_orphans(spark, d):
     return metadata.orphans(_meta(emb), index.live())
 
 
+@_registered(f"WITH {M} SELECT vec_id, metadata FROM m")
+def meta_save_load(spark, d):
+    path = new_dir(spark, "metadata")
+    metadata.save(_meta(_emb(spark, d)), path)
+    return metadata.load(spark, path)
+
+
 # deletes and compaction ---------------------------------------------------------------------------------
 
 
@@ -248,6 +255,22 @@ def delete_status(spark, d):
     return index.delete(even.union(even.select(F.col("vec_id") + 1_000_000_000)))[1]
 
 
+@_registered(f"WITH {E} SELECT vec_id, round({_dot('v', 'v')}, 6) AS square FROM e WHERE vec_id % 3 = 0")
+def vector_get(spark, d):
+    index = _flat(spark, d)
+    index, _ = index.delete(_gone(index.vectors))
+    found = index.get(index.vectors.where("vec_id % 3 = 0"))
+    return found.select("vec_id", F.round(D.dot(F.col("embedding"), F.col("embedding")), 6).alias("square"))
+
+
+@_registered("SELECT vec_id, vec_id % 7 = 0 AS is_deleted FROM embeddings UNION ALL SELECT vec_id + 1000000000, TRUE FROM embeddings")
+def is_deleted(spark, d):
+    index = _flat(spark, d)
+    index, _ = index.delete(_gone(index.vectors))
+    every = index.vectors.select("vec_id")
+    return index.is_deleted(every.union(every.select(F.col("vec_id") + 1_000_000_000)))
+
+
 @_registered("SELECT count(*) AS n FROM embeddings WHERE vec_id % 7 <> 0")
 def live_count(spark, d):
     index = _flat(spark, d)
@@ -510,6 +533,16 @@ def log_checkpoint(spark, d):
     return changelog.checkpoint(_base(spark, d), sound).select("vec_id", F.col("payload").cast("string").alias("payload"))
 
 
+@_registered(_replay_sql("TRUE"))
+def log_reopen(spark, d):
+    path = new_dir(spark, "log")
+    log = _log(spark, d).drop("crc")
+    changelog.append(log.where("lsn % 2 = 0"), f"{path}/log")
+    changelog.checkpoint_to(_base(spark, d), f"{path}/log", f"{path}/base")
+    changelog.append(log, f"{path}/log")
+    return changelog.opened(spark, f"{path}/log", f"{path}/base").select("vec_id", F.col("payload").cast("string").alias("payload"))
+
+
 @_registered("SELECT event_id AS lsn, user_id AS vec_id FROM events WHERE event_id % 11 = 0")
 def log_corrupt_skip(spark, d):
     return changelog.corrupt(_log(spark, d)).select("lsn", "vec_id")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.sources.store import load_version, save_version, versions
+
 
 def checksum(payload: Column) -> Column:
     """CRC-32 of the bytes; of a null payload (deletes) that of no bytes."""
@@ -44,3 +46,30 @@ def checkpoint(base: DataFrame, log: DataFrame) -> DataFrame:
     """The same, but a corrupt row is an error, raised when the result is computed; then the log can be emptied."""
     bad = F.coalesce(checksum(F.col("payload")) != F.col("crc"), F.lit(True))
     return replay(base, log.where(F.when(bad, F.raise_error(F.lit("corrupt row in the log")).cast("boolean")).otherwise(F.lit(True))))
+
+
+def recover(base: DataFrame, path: str) -> DataFrame:
+    """``base`` after the log at ``path``, as at opening; without a log it stays as it is."""
+    spark = base.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return base.select("vec_id", "payload")
+    return replay(base, spark.read.parquet(path))
+
+
+def checkpoint_to(base: DataFrame, path: str, table: str) -> int:
+    """Write ``base`` after the log as a new version of ``table``, then empty the log; a corrupt row leaves both alone."""
+    spark = base.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return save_version(spark, table, {"base": base.select("vec_id", "payload")}, {"kind": "base"})
+    number = save_version(spark, table, {"base": checkpoint(base, spark.read.parquet(path))}, {"kind": "base"})
+    fs.delete(at, True)
+    return number
+
+
+def opened(spark, path: str, table: str) -> DataFrame:
+    """The newest checkpoint of ``table`` after the log at ``path``."""
+    empty = spark.createDataFrame([], "vec_id long, payload binary")
+    return recover(load_version(spark, table, "base")[0]["base"] if versions(spark, table) else empty, path)

@@ -285,6 +285,32 @@ def test_log_replay_and_corruption(spark, tmp_path):
     assert read(changelog.replay(base, entries.where("false"))) == {1: b"old", 2: b"two", 3: b"three"}
 
 
+def test_log_on_disk(spark, tmp_path):
+    schema = "lsn long, op string, vec_id long, payload binary"
+    path, table = f"file://{tmp_path}/log", f"file://{tmp_path}/base"
+    read = lambda: {r.vec_id: bytes(r.payload) for r in changelog.opened(spark, path, table).collect()}
+    assert read() == {}
+    changelog.append(spark.createDataFrame([(1, "put", 1, b"a"), (2, "put", 2, b"b")], schema), path)
+    assert read() == {1: b"a", 2: b"b"}
+    assert changelog.checkpoint_to(changelog.opened(spark, path, table), path, table) == 1
+    assert not (tmp_path / "log").exists() and read() == {1: b"a", 2: b"b"}
+    changelog.append(spark.createDataFrame([(3, "delete", 1, None)], schema), path)
+    assert read() == {2: b"b"}
+    bad = changelog.entries(spark.createDataFrame([(4, "put", 2, b"x")], schema)).withColumn("crc", F.lit(7).cast("long"))
+    bad.write.mode("append").parquet(path)
+    with pytest.raises(Exception, match="corrupt"):
+        changelog.checkpoint_to(changelog.opened(spark, path, table), path, table)
+    assert (tmp_path / "log").exists() and read() == {2: b"b"} and store.versions(spark, table) == [1]
+
+
+def test_get_and_is_deleted(spark):
+    index = flat.FlatIndex.create(vectors(spark, [[0.0], [1.0], [2.0]]), 1)
+    index, _ = index.delete(vectors(spark, [[1.0]], 1))
+    asked = spark.createDataFrame([(0,), (1,), (9,)], "vec_id long")
+    assert {r.vec_id for r in index.get(asked).collect()} == {0, 1}
+    assert {r.vec_id: r.is_deleted for r in index.is_deleted(asked).collect()} == {0: False, 1: True, 9: True}
+
+
 def test_blobs(spark):
     rng = random.Random(0)
     data = {1: b"", 2: b"x", 3: rng.randbytes(8172), 4: rng.randbytes(8173), 5: rng.randbytes(100_000)}
