@@ -5,8 +5,7 @@ next one's ``docs``.  All but the last return the columns of ``documents``.
 
 Rows: a document that a stage keeps goes on as it is.  Language ID rejects documents in which it finds no
 language (null, no letter) or is unsure (score below ``SURE``).  Of each component of the Jaccard
-join the smallest doc_id stays, and documents without words stay out of it (language ID has
-rejected them).  A document that holds a benchmark item goes.  The mix takes a document not at all, once or twice,
+join the smallest doc_id stays; documents without words are alone in theirs, and rows without doc_id stay.  A document that holds a benchmark item goes.  The mix takes a document not at all, once or twice,
 whole, and orders documents by training position; the token files are in doc_id order.
 """
 
@@ -33,10 +32,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @shipped
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, the one with the smallest doc_id."""
-    rows = written(jaccard.jaccard_rows(docs).select("doc_id", "first"), "groups")
-    out = docs.join(small(rows.where("not first").select("doc_id").distinct(), 1_000_000), "doc_id", "left_anti").select(*docs.columns)
-    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return out.dropDuplicates(["doc_id"]) if repeated.take(1) else out
+    rows = jaccard.jaccard_rows(docs).where("doc_id is not null")
+    ids = written(rows.groupBy("doc_id").agg(F.bool_or("first").alias("first"), F.count(F.lit(1)).alias("n")), "groups")
+    out = docs.join(small(ids.where("not first").select("doc_id"), 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    repeated = ids.where("n > 1 and first").select(F.col("doc_id").alias("id"))
+    if not repeated.take(1):
+        return out
+    # rows that share a doc_id are one document: the one with the smallest hash of its text stays
+    packed = out.select(F.struct(*docs.columns).alias("document")).join(small(repeated, 1_000_000), F.col("document.doc_id") == F.col("id"), "left")
+    best = packed.where("id is not null").groupBy("id").agg(F.min_by("document", F.xxhash64("document.text")).alias("document")).select("document")
+    return packed.where("id is null").select("document").union(best).select("document.*")
 
 
 @shipped

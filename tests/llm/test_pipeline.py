@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline
-from tests.llm.common import shingles
+from tests.llm.common import docs, prose, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +37,22 @@ def test_run_is_the_stages_in_turn(spark):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() > 100
 
 
+
+
+def test_stages_take_empty_tables_and_other_columns(spark):
+    empty = docs(spark, ["a"]).where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).collect() == []
+    rng = random.Random(0)
+    some = docs(spark, [prose(rng, 50) for _ in range(6)] + [None, ""])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, some, SF)
+        assert out.columns == some.columns
+        assert {r["size"] for r in out.collect()} == {"x"}
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(5, "some words that are here twice over", "en", "s", 1)] * 2 + [(5, "other words of the same doc_id in full", "en", "s", 1), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.STAGES[1][1](spark, df, SF).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["5", "None"]
