@@ -15,7 +15,7 @@ import uuid
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -75,9 +75,10 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast of ``df`` if a count shows at most ``rows`` rows; else leave the join to Spark.
+def small(df: DataFrame, rows: int, weight: Column | None = None) -> DataFrame:
+    """Hint a broadcast of ``df`` if it has at most ``rows`` rows; else leave the join to Spark.
 
-    ``df`` should be cheap to count: a table from ``written``.
+    ``weight`` counts for a row that holds an array.  ``df`` should be cheap to count: a table from ``written``.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    found = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first().n
+    return F.broadcast(df) if found <= rows else df
