@@ -58,7 +58,7 @@ def dedup_lines(docs: DataFrame, every: int = EVERY) -> DataFrame:
         gone = some.join(first, ["hash", "chunk"]).where("row != first.row or k != first.k")
         keep.append(written(gone.groupBy("row").agg(F.collect_list("k").alias("gone"), F.sum("n_lines").alias("removed_lines")), "gone"))
     gone = keep[0]
-    out = rows.join(small(gone, SMALL), "row", "left")
+    out = rows.join(small(gone, SMALL, F.size("gone") + 1), "row", "left")
     stays = F.filter("texts", lambda _, k: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), k))
     text = F.when(~F.col("is_null"), F.when(F.col("gone").isNull(), F.array_join("texts", "\n")).otherwise(F.array_join(stays, "\n")))
     lines = F.when(F.col("is_null"), F.lit(0)).otherwise(F.aggregate("n_lines", F.lit(0), lambda s, x: s + x))
