@@ -3,6 +3,11 @@
 Words are maximal runs of bytes other than the six ASCII white-space characters (0x20 and
 0x09-0x0D), with A-Z lowered.  A text is hashed whole; texts are taken in blocks of about a
 megabyte so that temporary arrays stay small whatever the Arrow batch holds.
+
+The distinct words of a block are told apart by their bytes, and each is hashed by XXH3, whose collisions
+do not follow from the words' form: two different words, or two different shingles, share a hash by
+chance alone, once in 2**64 pairs.  (A polynomial modulo 2**64 would not do: Thue-Morse words collide
+under every base.)  ``span_hashes`` is such a polynomial; it only serves to find borders, and over hashes of words.
 """
 
 from __future__ import annotations
@@ -13,35 +18,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-BASES = (0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1)
+BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLOCK = 1 << 20
+SEED = 20240229
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
-def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A base's powers and inverse powers modulo 2**64, for exponents below ``n`` at least."""
-    if which not in _powers or len(_powers[which][0]) < n:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and inverse powers modulo 2**64, for exponents below ``n`` at least."""
+    if not _powers or len(_powers[0]) < n:
         size = max(n, BLOCK + (1 << 16))
-        steps = [np.full(size, base, U64) for base in (BASES[which], pow(BASES[which], -1, 1 << 64))]
+        steps = [np.full(size, base, U64) for base in (BASE, pow(BASE, -1, 1 << 64))]
         for x in steps:
             x[0] = 1
-        _powers[which] = tuple(map(np.multiply.accumulate, steps))
-    return _powers[which]
+        _powers[:] = map(np.multiply.accumulate, steps)
+    return _powers[0], _powers[1]
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """Polynomial hash of the bytes of each span, not mixed."""
-    up, down = powers(len(raw) + 1, which)
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum(raw * up[: len(raw)], out=total[1:])
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each span of bytes or word hashes, not mixed."""
+    up, down = powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
     return (total[end] - total[start]) * down[start]
 
 
@@ -76,6 +83,15 @@ def text_blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int
         i = j
 
 
+def distinct(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The stretches between ``bounds``, which cover ``raw``: the number of each among the distinct ones, and those."""
+    if len(bounds) < 2:
+        return np.zeros(0, np.int32), []
+    every = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
+    coded = every.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and for each text the index of its first word (with the end at last)."""
     if not len(raw):
@@ -90,7 +106,8 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     last[:-1] &= ~full[1:]
     last[heads[1:] - 1] = full[heads[1:] - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return mix(span_hashes(low, start, end) + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)), np.searchsorted(start, offsets)
+    which, every = distinct(low[full], np.concatenate([[0], np.cumsum(end - start)]))
+    return np.array([xxhash.xxh3_64_intdigest(w, SEED) for w in every], U64)[which], np.searchsorted(start, offsets)
 
 
 def shingles(word: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

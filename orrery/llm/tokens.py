@@ -13,7 +13,8 @@ control bytes (ids / 4, rounded up); data bytes.  Files are in ascending doc_id
 The tokenizer splits at pre-token borders and encodes each pre-token by itself.  White space other than
 a leading blank never shares a pre-token with anything else, so a text is cut into such pieces, and each
 distinct piece is encoded by the tokenizer once, for as long as a worker remembers it.  Texts with
-white space beyond ASCII, or with the string of a special token, are encoded whole instead.
+white space beyond ASCII, or with the string of a special token, are encoded whole instead, and so are
+all texts if the tokenizer splits by other rules.
 
 Defined results: null text is empty and has the end id only; repeated doc_ids stand next to each other
 in the order of a hash of their texts; null doc_ids come first; an empty table writes no files and
@@ -22,13 +23,13 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.llm.text import SPACE, U64, mix, release, span_hashes, text_blocks
+from orrery.llm.text import SPACE, distinct, release, text_blocks
 from orrery.plans.scratch import new_dir, written
 
 END = 2
 BLOCK_IDS = 1 << 18
 ROLL = 1 << 23
-CACHE = 1_500_000
+#: Pieces in each of the two tables of a worker, and those sent to the tokenizer at once.
+CACHE, LEARN = 300_000, 100_000
 MAGIC = b"ORTK"
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -80,57 +82,51 @@ def piece_starts(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start | tail)
 
 
+def cut_alike(about: dict) -> bool:
+    """Whether a tokenizer file splits texts by the rules that ``piece_starts`` follows."""
+    split, model = about.get("pre_tokenizer") or {}, about.get("model") or {}
+    plain = not any(about.get(k) for k in ("normalizer", "truncation", "padding"))
+    bpe = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
+    return plain and bpe and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+
+
 class Encoder:
-    """Ids of whole texts, by pieces that are remembered in a table of hashes.
+    """Ids of whole texts, by pieces that are remembered with their ids.
 
-    Pieces are found by two 64-bit hashes over different bases.  New ones go into a small sorted table, which is
-    merged into the large one as it grows; when that has ``CACHE`` rows it starts anew.
+    Pieces are told apart by their bytes.  There are two tables of up to ``CACHE`` pieces each; when the
+    newer is full it takes the place of the older, so pieces in use stay.  What a block needs is held by
+    the block itself, so that forgetting never changes a result.  A tokenizer that splits by other
+    rules (see ``cut_alike``) gets whole texts.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_pieces = cut_alike(json.load(f))
         self.special = [t.content.encode() for t in self.own.get_added_tokens_decoder().values()]
-        self.size = self.own.get_vocab_size()
-        self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self._forget()
-
-    def _forget(self) -> None:
-        # tables of (hash, check, place in pool, ids), sorted by hash: a large one and a small one
-        self.tables = [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in range(2)]
-        self.pool, self.used = np.zeros(1 << 16, self.type), 0
-
-    def _find(self, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of ids of each piece; -1 where it is not known."""
-        place, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int32)
-        for hashes, checks, places, counts in self.tables:
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                hit = (hashes[at] == h) & (checks[at] == check)
-                place[hit], count[hit] = places[at[hit]], counts[at[hit]]
-        return place, count
-
-    def _learn(self, h: np.ndarray, check: np.ndarray, pieces: list[str]) -> None:
-        if len(self.tables[0][0]) + len(self.tables[1][0]) + len(h) > CACHE:
-            self._forget()
-        found = [e.ids for e in self.own.encode_batch_fast(pieces, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int32, len(found))
-        ids = np.fromiter(chain.from_iterable(found), self.type, int(count.sum()))
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        new = (h, check, self.used + np.cumsum(count) - count, count)
-        self.used += len(ids)
-        self.tables[1] = self._merged(self.tables[1], new)
-        if len(self.tables[1][0]) > max(20_000, len(self.tables[0][0]) // 8):
-            self.tables = [self._merged(*self.tables), tuple(x[:0] for x in new)]
-
-    @staticmethod
-    def _merged(a: tuple, b: tuple) -> tuple:
-        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
-        return tuple(np.concatenate(x)[order] for x in zip(a, b, strict=True))
+        self.type = np.dtype("<u2" if max(self.own.get_vocab(True).values(), default=0) < 1 << 16 else "<u4")
+        self.cache = CACHE if cache is None else cache
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces, as bytes."""
+        out = list(map(self.new.get, pieces))
+        for k in [k for k, x in enumerate(out) if x is None]:
+            out[k] = self.old.get(pieces[k])
+        at = [k for k, x in enumerate(out) if x is None]
+        for low in range(0, len(at), LEARN):
+            some = at[low : low + LEARN]
+            for k, e in zip(some, self.own.encode_batch_fast([pieces[k].decode() for k in some], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, self.type).tobytes()
+        if len(self.new) + len(pieces) > self.cache:
+            self.old, self.new = self.new, {}
+        if len(pieces) <= self.cache:
+            self.new.update(zip(pieces, out, strict=True))
+        return out
 
     def _plain(self, raw: bytes) -> np.ndarray:
         return np.array(self.own.encode(raw.decode(), add_special_tokens=False).ids, self.type)
@@ -154,31 +150,21 @@ class Encoder:
         """Ids of each text of a block (see ``text_blocks``), in ``type``."""
         n = len(offsets) - 1
         if not len(raw):
-            return [self.pool[:0]] * n
+            return [np.zeros(0, self.type)] * n
+        ends = offsets.tolist()
+        if not self.by_pieces:
+            return [self._plain(raw[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
         odd = self.odd(raw, offsets)
-        full = np.diff(offsets) > 0
-        start = piece_starts(raw, offsets[:-1][full])
-        end = np.append(start[1:], len(raw))
-        size = (end - start).astype(U64)
-        h, check = (mix(span_hashes(raw, start, end, base) + size * U64(0xD6E8FEB86659FD93)) for base in (0, 1))
-        known, back = np.unique(h, return_inverse=True)
-        one = np.zeros(len(known), np.int64)
-        one[back] = np.arange(len(h))
-        if (check != check[one][back]).any():  # two pieces of this block share a hash
-            return [self._plain(raw[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        place, count = self._find(known, check[one])
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            used = self.used
-            self._learn(known[new], check[one][new], [raw[a:b].tobytes().decode() for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
-            if self.used < used:  # it has forgotten what this block had found
-                return self(raw, offsets)
-            place[new], count[new] = self._find(known[new], check[one][new])
-        place, count = place[back], count[back].astype(np.int64)
+        start = piece_starts(raw, offsets[:-1][np.diff(offsets) > 0])
+        which, pieces = distinct(raw, np.append(start, len(raw)))
+        coded = self.ids_of(pieces)
+        pool = np.frombuffer(b"".join(coded), self.type)
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.type.itemsize
+        count, place = size[which], (np.cumsum(size) - size)[which]
         stop = np.cumsum(count)
-        ids = self.pool[np.repeat(place - (stop - count), count) + np.arange(stop[-1])]
+        ids = pool[np.repeat(place - (stop - count), count) + np.arange(stop[-1])]
         cut = np.append(0, stop)[np.searchsorted(start, offsets)]
-        return [self._plain(raw[offsets[d] : offsets[d + 1]].tobytes()) if d in odd else ids[cut[d] : cut[d + 1]] for d in range(n)]
+        return [self._plain(raw[ends[d] : ends[d + 1]].tobytes()) if d in odd else ids[cut[d] : cut[d + 1]] for d in range(n)]
 
 
 @lru_cache(1)

@@ -39,11 +39,37 @@ def check(plain, encoder, texts):
             assert got.tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
-def test_encoder_forgets_and_learns_anew(plain, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE", 200)
-    own, rng = tokens.Encoder(tokens.tokenizer_path()), random.Random(5)
+def test_encoder_forgets_and_learns_anew(plain):
+    own, rng = tokens.Encoder(tokens.tokenizer_path(), 200), random.Random(5)
     for _ in range(20):
         check(plain, own, [prose(rng, 30), "the same words", None, "", prose(rng, 50), "x. y, z.\n"])
+        assert len(own.new) <= 200 and len(own.old) <= 200
+    # a text with few new pieces, then one with more than the table holds, and the other way round
+    for numbers in (range(150), range(1000), range(100), range(90, 300), range(2000), range(150)):
+        check(plain, own, [" ".join(map(str, numbers)), "the same words"])
+
+
+def thue_morse(n, a="a", b="b"):
+    """Words whose polynomial hashes modulo 2**64 agree under every odd base, from 1024 characters on."""
+    w = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return w.translate({97: a, 98: b}), w.translate({97: b, 98: a})
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_with_equal_polynomials_keep_their_own_ids(plain, encoder, n):
+    one, two = thue_morse(n)
+    check(plain, encoder, [f"{one} x {two}", two, one, f"{two} {one}"])
+    check(plain, encoder, [f"z {two} {two}"])
+
+
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    own, rng = tokens.Encoder(path), random.Random(6)
+    plain = Tokenizer.from_file(path)
+    assert not own.by_pieces and tokens.Encoder(tokens.tokenizer_path()).by_pieces
+    check(plain, own, [prose(rng, 40), "Some words, with a stop.  And 123 \n\n more", None, "", *(t for t in ODD if t)])
 
 
 @settings(max_examples=200, deadline=None)

@@ -40,3 +40,13 @@ def test_blocks_do_not_change_hashes():
 def test_slices_of_arrow_arrays_keep_their_place():
     texts = pa.array(["a b", None, "c d e", "f"], pa.string()).slice(1)
     assert [len(w) for i, j, raw, offs in T.text_blocks(texts) for w in np.split(*(lambda w, f: (w, f[1:-1]))(*T.words(raw, offs)))] == [0, 3, 1]
+
+
+def test_words_with_equal_polynomials_have_their_own_hashes():
+    for n in (64, 1024, 2048, 4096):
+        one = "".join("ab"[k.bit_count() & 1] for k in range(n))
+        two = one.translate({97: "b", 98: "a"})
+        (w, s), = _each([f"{one} {two}"], 1 << 20)
+        assert w[0] != w[1]
+        (_, s), (_, z) = _each([" ".join(one), " ".join(two)], 1 << 20)
+        assert len(np.unique(s)) == len({one[k : k + 5] for k in range(n - 4)}) == len(np.intersect1d(s, z))
