@@ -17,8 +17,8 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import deque
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import cache
 from html.parser import HTMLParser
 
@@ -32,103 +32,190 @@ BLOCK_TAGS = frozenset("address article aside blockquote body button caption cen
 #: Elements whose text is never shown as text.
 HIDDEN_TAGS = frozenset("script style template noscript iframe object svg math head title canvas audio video textarea select option button datalist".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that stay in an open head; others, and text, end it.
+HEAD_TAGS = frozenset("base link meta title style script noscript template".split())
+#: Start tags that end an open svg or math element (fixed values of the HTML standard).
+BREAKOUT_TAGS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article aside footer header main nav section".split())
 #: Elements that a start tag of the same kind, or of a listed kind, ends.
-IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "button": {"button"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
+#: Elements out of which an implied end does not reach.
+SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
 ENDS_P = BLOCK_TAGS - {"p", "body", "html", "head", "title", "caption", "legend", "option", "button"}
 BAD_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 GOOD_TAGS = frozenset("article main".split())
-BAD_WORDS = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|breadcrumbs?|byline|comments?|consent|cookies?|copyright|disqus|footer|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|popover|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|topbar|widgets?)(?:$|[-_ ])", re.I)
-GOOD_WORDS = re.compile(r"(?:^|[-_ ])(?:article|body|content|entry|main|post|story|text)(?:$|[-_ ])", re.I)
+BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup popover promo promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+GOOD_WORDS = frozenset("article body content entry main post story text".split())
+#: A class name with one of these in front tells of something else in the page, or of nothing.
+NEGATIONS = frozenset("no not has have with without hide hidden show toggle enable enabled disable disabled is js".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 SPACE = re.compile(r"\s+")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 NAMES = ("one", "boilerplate element", "boilerplate name", "content element", "content name", "link share", "length", "sentence marks", "list item", "heading", "paragraph", "page edge")
-NEAR, SAME, KIN = 0.4, 0.8, 0.3
+NEAR, SAME, KIN, EPS = 0.6, 1.6, 0.5, 1e-9
+
+
+def named(name: str) -> tuple[bool, bool]:
+    """Whether the class names and id of an element call it boilerplate, and content.
+
+    A name counts by its parts.  One that begins with a negation tells nothing.  A frame whose other names call it
+    content is content, whatever stands at its side: ``content left-sidebar``.
+    """
+    bad = good = False
+    for token in HUMP.sub("-", name).lower().split():
+        parts = set(re.split(r"[-_]+", token))
+        if re.split(r"[-_]+", token)[0] in NEGATIONS:
+            continue
+        well = bool(parts & GOOD_WORDS)
+        # the header of a post is part of it, its comments are not
+        if parts & BAD_WORDS - ({"header"} if well else set()):
+            bad = True
+        else:
+            good |= well
+    return bad and not good, good
+
+
+class _Open:
+    """An open element, with what it shares with those around it."""
+
+    __slots__ = ("bad", "bad_tag", "block", "frame", "good", "good_tag", "hidden", "kind", "link", "number", "parent", "tag")
 
 
 class _Blocks(HTMLParser):
-    """Collects (text, features, parent, grandparent) of each block in page order."""
+    """Collects (text, features, parent, grandparent, frames) of each block in page order.
+
+    ``frames``: the innermost element around it that is boilerplate by name, with those around that as a linked list.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # tag, number, and whether it or an element around it is: hidden, bad by tag, bad by name, good by tag, good by name, link
-        self.stack: list[tuple[str, int, tuple[bool, ...]]] = [("", 0, (False,) * 6)]
+        root = _Open()
+        root.tag, root.number, root.parent, root.block, root.kind, root.frame = "", 0, 0, 0, "", None
+        root.hidden = root.bad_tag = root.bad = root.good_tag = root.good = root.link = False
+        # places of the open elements of each tag in the stack
+        self.stack, self.at = [root], defaultdict(list)
         self.count, self.parts, self.linked, self.length = 0, [], 0, 0
-        self.blocks: list[tuple[str, list[float], int, int]] = []
+        self.blocks: list[tuple[str, list[float], int, int, tuple | None]] = []
 
     def end_block(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                path = [x for x in self.stack if x[0] in BLOCK_TAGS or not x[0]]
-                tag, number, flags = path[-1]
+                top = self.stack[-1]
                 marks = sum(map(text.count, ".!?,;:"))
                 features = [
-                    1.0, *map(float, flags[1:5]), self.linked / max(self.length, 1), min(len(text), 400) / 400, min(marks / (1 + text.count(" ")), 0.3) / 0.3,
-                    float(tag in ("li", "dt", "dd", "td", "th")), float(tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(tag in ("p", "blockquote", "pre")), 0.0,
+                    1.0, float(top.bad_tag), float(top.bad), float(top.good_tag), float(top.good), self.linked / max(self.length, 1), min(len(text), 400) / 400, min(marks / (1 + text.count(" ")), 0.3) / 0.3,
+                    float(top.kind in ("li", "dt", "dd", "td", "th")), float(top.kind in ("h1", "h2", "h3", "h4", "h5", "h6")), float(top.kind in ("p", "blockquote", "pre")), 0.0,
                 ]
-                self.blocks.append((text, features, number, path[-2][1] if len(path) > 1 else 0))
+                self.blocks.append((text, features, top.block, top.parent, top.frame))
             self.parts, self.linked, self.length = [], 0, 0
 
+    def _pop(self, to: int) -> None:
+        """Close the open elements from place ``to`` on."""
+        for x in self.stack[to:]:
+            self.at[x.tag].pop()
+        del self.stack[to:]
+
+    def _close(self, tags: Iterable[str], stop: Iterable[str] = ()) -> None:
+        """Close the innermost open element of ``tags`` with all inside it, unless one of ``stop`` is inside it too."""
+        k = max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+        if k > max((self.at[t][-1] for t in stop if self.at[t]), default=0):
+            self.end_block()
+            self._pop(k)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.at["head"] and tag not in HEAD_TAGS and not any(x.tag in ("title", "template", "noscript") for x in self.stack[-2:]):
+            self._close({"head"})
+        if tag in BREAKOUT_TAGS and (self.at["svg"] or self.at["math"]) and not (self.at["foreignobject"] or self.at["annotation-xml"]):
+            while self.at["svg"] or self.at["math"]:
+                self._close({"svg", "math"})
         if tag in VOID_TAGS:
             if tag == "hr":
                 self.end_block()
+                self._close({"p"}, FRAMES)
             elif tag == "br":
                 self.parts.append(" ")
             return
         if tag in BLOCK_TAGS:
             self.end_block()
-            ended = IMPLIED.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            if ended:
-                for k in range(len(self.stack) - 1, 0, -1):
-                    at = self.stack[k][0]
-                    if at in ended:
-                        del self.stack[k:]
-                        break
-                    if at in BLOCK_TAGS:
-                        break
+            if tag in ENDS_P or tag == "p":
+                self._close({"p"}, FRAMES)
+            if tag in IMPLIED and tag != "p":
+                self._close(IMPLIED[tag], SCOPES.get(tag, frozenset()))
         given = dict(attrs)
-        name = f"{given.get('class') or ''} {given.get('id') or ''}"
-        hidden, bad_tag, bad_name, good_tag, good_name, link = self.stack[-1][2]
+        top, new = self.stack[-1], _Open()
         role = (given.get("role") or "").lower()
-        hidden = hidden or tag in HIDDEN_TAGS or "hidden" in given or "display:none" in (given.get("style") or "").replace(" ", "").lower()
-        bad_tag = bad_tag or tag in BAD_TAGS or role in BAD_ROLES
-        bad_name = bad_name or bool(BAD_WORDS.search(name))
-        good_tag = good_tag or tag in GOOD_TAGS or role in ("main", "article")
-        good_name = good_name or bool(GOOD_WORDS.search(name))
+        bad, good = (False, False) if tag in ("html", "body", "main", "article") else named(f"{given.get('class') or ''} {given.get('id') or ''}")
         self.count += 1
-        self.stack.append((tag, self.count, (hidden, bad_tag, bad_name, good_tag, good_name, link or tag == "a")))
+        new.tag, new.number = tag, self.count
+        new.hidden = top.hidden or tag in HIDDEN_TAGS or "hidden" in given or "display:none" in (given.get("style") or "").replace(" ", "").lower()
+        # the header of an article holds its title
+        own = tag in BAD_TAGS and not (tag == "header" and (self.at["article"] or self.at["main"]))
+        new.bad_tag = top.bad_tag or own or role in BAD_ROLES
+        new.bad = top.bad or bad
+        new.good_tag = top.good_tag or tag in GOOD_TAGS or role in ("main", "article")
+        new.good = top.good or good
+        new.link = top.link or tag == "a"
+        new.frame = (self.count, top.frame) if bad else top.frame
+        if tag in BLOCK_TAGS:
+            new.block, new.parent, new.kind = self.count, top.block, tag
+        else:
+            new.block, new.parent, new.kind = top.block, top.parent, top.kind
+        self.at[tag].append(len(self.stack))
+        self.stack.append(new)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if (self.at["svg"] or self.at["math"]) and self.stack[-1].tag == tag:  # only foreign elements end with their start
+            self._pop(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.parts.append(" ")
         if tag in BLOCK_TAGS:
             self.end_block()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
+        if self.at[tag] and tag not in ("body", "html"):
+            self._pop(self.at[tag][-1])
 
     def handle_data(self, data: str) -> None:
-        flags = self.stack[-1][2]
-        if not flags[0]:
+        if self.at["head"] and self.stack[-1].tag == "head" and data.strip():
+            self._close({"head"})
+        top = self.stack[-1]
+        if not top.hidden:
             self.parts.append(data)
             n = len(data.strip())
             self.length += n
-            self.linked += n * flags[5]
+            self.linked += n * top.link
+
+
+#: Elements that keep a paragraph around them open.
+FRAMES = frozenset("body html div article section main nav aside header footer form td th li dd blockquote button table".split())
 
 
 def blocks(html: str) -> list[tuple[str, list[float], int, int]]:
+    """(text, features, parent, grandparent) of the blocks of a page."""
     parser = _Blocks()
     parser.feed(html)
     parser.close()
     parser.end_block()
-    if parser.blocks:
-        parser.blocks[0][1][-1] = parser.blocks[-1][1][-1] = 1.0
-    return parser.blocks
+    found = parser.blocks
+    if found:
+        # a name on a frame that holds every block tells nothing of any
+        common: set[int] | None = None
+        for *_, frame in found:
+            mine = set()
+            while frame and (common is None or common):
+                mine.add(frame[0])
+                frame = frame[1]
+            common = mine if common is None else common & mine
+            if not common:
+                break
+        if common:
+            for _, features, _, _, frame in found:
+                while frame and frame[0] in common:
+                    frame = frame[1]
+                features[2] = float(frame is not None)
+        found[0][1][-1] = found[-1][1][-1] = 1.0
+    return [x[:4] for x in found]
 
 
 def _sample() -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +235,8 @@ def _sample() -> tuple[np.ndarray, np.ndarray]:
     ]
     inside = ["<h1>+{short}</h1>", "<p>+{long}</p>", "<p>+{mid}</p>", "<p>+{tiny}</p>", "<ul><li>+{mid}</li><li>+{short}</li></ul>", "<blockquote>+{long}</blockquote>", "<h2>+{short}</h2>", '<p>+{mid} <a href="y">{short}</a></p>', "<div>+{long}</div>", "<pre>+{mid}</pre>"]
     frames = ["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main"><div class="post">{}</div></div>', "<div>{}</div>", "<article>{}</article>"]
+    # frames whose names mislead, so that a name alone does not decide
+    odd = ['<div class="widget">{}</div>', '<div class="share"><div>{}</div></div>', '<section id="tags">{}</section>', '<form class="content">{}</form>', '<aside><article>{}</article></aside>']
 
     def fill(template: str) -> str:
         links = "".join(f'<li><a href="/{k}">{prose(int(rng.integers(1, 4)))}</a></li>' for k in range(int(rng.integers(2, 7))))
@@ -160,7 +249,7 @@ def _sample() -> tuple[np.ndarray, np.ndarray]:
         if rng.random() < 0.25:
             text += fill(str(rng.choice(around)))
         end = "".join(fill(str(x)) for x in rng.choice(around, int(rng.integers(0, 4))))
-        for t, f, _, _ in blocks(f"<html><body>{top}{frames[k % len(frames)].format(text)}{end}</body></html>"):
+        for t, f, _, _ in blocks(f"<html><body>{top}{(odd[k // 8 % len(odd)] if k % 8 == 3 else frames[k % len(frames)]).format(text)}{end}</body></html>"):
             rows.append(f)
             gold.append(t.startswith("+"))
     return np.array(rows), np.array(gold, float)
@@ -184,38 +273,88 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
     """Which nodes are on the source side of a minimum cut.
 
     ``gain[i]`` above 0 is node i's capacity from the source, below 0 its capacity to the sink; edges have
-    the same capacity both ways.  Shortest augmenting paths from what is left at nodes with a surplus.
+    the same capacity both ways.  A node whose capacity is that of all its edges together is on its own
+    side in some minimum cut; its edges then count for or against its neighbours.  The maximum flow in what
+    is left is Dinic's: blocking flows in levels by the distance from nodes with a surplus.
     """
     n = len(gain)
     links: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, c in edges:
         links[a][b] = links[a].get(b, 0.0) + c
         links[b][a] = links[b].get(a, 0.0) + c
-    left = list(gain)
+    left, around = list(gain), [sum(x.values()) for x in links]
+    side: list[bool | None] = [None] * n
+    line = [i for i in range(n) if abs(left[i]) >= around[i]]
+    while line:
+        i = line.pop()
+        if side[i] is None:
+            side[i] = left[i] > 0
+            for j, c in links[i].items():
+                if side[j] is None:
+                    left[j] += c if side[i] else -c
+                    around[j] -= c
+                    if abs(left[j]) >= around[j]:
+                        line.append(j)
+    rest = [i for i in range(n) if side[i] is None]
+    number = {i: k for k, i in enumerate(rest)}
+    to: list[int] = []
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in rest]
+    for i in rest:
+        for j, c in links[i].items():
+            if i < j and j in number:
+                out[number[i]].append(len(to))
+                out[number[j]].append(len(to) + 1)
+                to += [number[j], number[i]]
+                room += [c, c]
+    surplus = [left[i] for i in rest]
     while True:
-        come = {i: i for i in range(n) if left[i] > 1e-9}
-        line, end = deque(come), -1
-        while line and end < 0:
-            a = line.popleft()
-            for b, c in links[a].items():
-                if c > 1e-9 and b not in come:
-                    come[b] = a
-                    if left[b] < -1e-9:
-                        end = b
+        level = [-1] * len(rest)
+        line = [k for k, x in enumerate(surplus) if x > EPS]
+        for k in line:
+            level[k] = 0
+        sources, ends = line, 0
+        while line and not ends:  # the nearest level with a deficit is the last
+            after = []
+            for k in line:
+                for e in out[k]:
+                    j = to[e]
+                    if level[j] < 0 and room[e] > EPS:
+                        level[j] = level[k] + 1
+                        ends += surplus[j] < -EPS
+                        after.append(j)
+            line = after
+        if not ends:
+            break
+        at = [0] * len(rest)
+        for first in sources:
+            path, k = [], first
+            while surplus[first] > EPS:
+                if surplus[k] < -EPS:
+                    push = min(surplus[first], -surplus[k], *(room[e] for e in path))
+                    surplus[first] -= push
+                    surplus[k] += push
+                    for e in path:
+                        room[e] -= push
+                        room[e ^ 1] += push
+                    path, k = [], first
+                    continue
+                while at[k] < len(out[k]):
+                    e = out[k][at[k]]
+                    if level[to[e]] == level[k] + 1 and room[e] > EPS:
                         break
-                    line.append(b)
-        if end < 0:
-            return [i in come for i in range(n)]
-        path, at = [], end
-        while come[at] != at:
-            path.append((come[at], at))
-            at = come[at]
-        push = min(left[at], -left[end], *(links[a][b] for a, b in path))
-        left[at] -= push
-        left[end] += push
-        for a, b in path:
-            links[a][b] -= push
-            links[b][a] += push
+                    at[k] += 1
+                if at[k] < len(out[k]):
+                    path.append(out[k][at[k]])
+                    k = to[path[-1]]
+                elif not path:
+                    break
+                else:
+                    k = to[path.pop() ^ 1]
+                    at[k] += 1
+    for i, x in zip(rest, level, strict=True):
+        side[i] = x >= 0
+    return [bool(x) for x in side]
 
 
 def main_text(html: str | None, weights: tuple[float, ...] | None = None) -> str:

@@ -1,6 +1,9 @@
 """Language ID, page text and shared passages."""
 
 import random
+import re
+import time
+from html import unescape
 
 import pytest
 
@@ -165,3 +168,49 @@ def test_chains_prefer_order_over_length():
     y = np.array([100, 105, 110, 20, 25, 30, 162, 167, 172])
     assert passages.chain(x, y)[0] == (60, 75, 162, 177) or passages.chain(x, y)[0][0] in (0, 30, 60)
     assert passages.chain(np.array([0, 5, 10, 22, 27, 32]), np.array([50, 55, 60, 74, 79, 84])) == [(0, 37, 50, 89)]
+
+
+PROSE = "A long paragraph of text about the river, its light and the people who found it there. It goes on for some time, as such texts do, and ends."
+ARTICLE = f"<h1>A title of it</h1><p>{PROSE}</p><p>{PROSE} Two.</p>"
+PAGES = {
+    "head without end": f"<html><head><title>T</title><body>{ARTICLE}</body></html>",
+    "text ends the head": f"<html><head><title>T</title>{ARTICLE}</html>",
+    "body with a negated name": f"<html><body class='has-sidebar'>{ARTICLE}</body>",
+    "body with a bad name": f"<body class='sidebar'><nav>m n</nav>{ARTICLE}<div class=comments><p>{PROSE}</p></div></body>",
+    "frame with two names": f"<body><div class='content left-sidebar'>{ARTICLE}</div></body>",
+    "post without comments": f"<body><div class='post no-comments'>{ARTICLE}</div><footer>x y</footer></body>",
+    "frame of all with a bad name": f"<body><div class='sidebar'>{ARTICLE}</div></body>",
+    "svg without end": f"<body><nav><a href='x'>m</a></nav><div><svg><g></div><article>{ARTICLE}</article></body>",
+    "svg without end before the text": f"<body><svg><path d='x'>{ARTICLE}</body>",
+    "header of the article": f"<body><article><header><h1>A title of it</h1></header><p>{PROSE}</p><p>{PROSE} Two.</p></article><footer>c</footer></body>",
+    "more comments than text": f"<article>{ARTICLE}</article><section class='comments'>" + f"<p>{PROSE}</p>" * 5 + "</section>",
+    "list items without ends": f"<body><ul><li><a href='x'>a</a><li><a href='y'>b</a></ul><main>{ARTICLE}</main>",
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_of_every_make(name):
+    assert html.main_text(PAGES[name]) == f"A title of it\n{PROSE}\n{PROSE} Two."
+
+
+def test_large_pages_take_their_time():
+    rng = random.Random(0)
+    began = time.process_time()
+    html.main_text("".join(f"<p>{PROSE}</p>" if rng.random() < 0.5 else f"<div class='ad'>{PROSE[: rng.randint(5, 90)]}</div>" for _ in range(20_000)))
+    n = 20_000
+    html.min_cut([rng.uniform(-1, 1) for _ in range(n)], [(i, i + 1, 0.6) for i in range(n - 1)] + [(i, i + rng.randint(2, 9), 0.5) for i in range(0, n - 9, 3)])
+    html.main_text("<div>" * n + "x" + "</b>" * n + "<b>" * n + "<h1>x</h1></i>" * n)
+    assert time.process_time() - began < 6
+
+
+def test_query_against_the_articles_of_the_pages(spark):
+    """The article of each given page, cut out by patterns; these pages mark it."""
+    from orrery.llm.queries import op3_html_text
+
+    sf = "/root/testdata/sf0.01"
+    for r in op3_html_text(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        found = re.search(r"<article>(.*?)(?:</article>|$)", r.html or "", re.S)
+        inner = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", "", found[1] if found else "", flags=re.S).replace("<br>", " ")
+        parts = [unescape(re.sub(r"<[^>]*>", "", x)) for x in re.split(r"</?(?:p|h1|h2|div|ul|li)\b[^>]*>", inner)]
+        assert r.text == "\n".join(x for x in (" ".join(p.split()) for p in parts) if x)
+        assert r.n_chars == len(r.text)
