@@ -7,7 +7,13 @@ listed, so a task that is run again leaves at most an unlisted file.
 
 Reading: every file is dealt out as byte ranges.  A task looks for the gzip magic from the start of
 its range, takes a candidate as a member only if it decodes to a WARC version line, and owns the
-records that start inside its range; the last of them may end beyond it.
+records that start inside its range; the last of them may end beyond it.  From there on members follow
+each other without a gap, so where one ends another must begin, in this range or a later one, or the
+file must end: a damaged or missing member, a cut file and bytes between members are errors.
+
+Where the revisits are few enough to be broadcast, no html is shuffled.
+
+Records of other kinds than response and revisit are passed over; those of other writers have no page_id.
 
 Defined results: null html is the empty payload; null page_id is kept; rows that share the smallest
 page_id of their payload are all responses; url is only recorded (null: absent; control characters
@@ -26,17 +32,23 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.plans.scratch import new_dir, written
+from orrery.plans.scratch import new_dir, small, written
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 LEAST = 100
 SPLIT = 32 << 20
 ROLL = 512 << 20
-PIECE = 1 << 20
+PIECE, HEAD = 1 << 20, 1 << 16
+#: Rows of revisits that may be broadcast.
+SMALL = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 
+class DamagedArchive(ValueError):
+    """An archive, or a record in it, is not what was written."""
+
+
 FILES = "path string, bytes long, records long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -46,8 +58,9 @@ def _uri(page_id: int | None) -> str:
 
 
 def _page(uri: str) -> int | None:
-    tail = uri.rstrip(">").rpartition(":")[2]
-    return None if tail == "none" else int(tail)
+    """The page of a record's id; None for those of other writers."""
+    head, _, tail = uri.strip("<>").rpartition(":")
+    return int(tail) if head == "urn:page" and tail != "none" else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -105,7 +118,7 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     seen = written(pages.select("page_id", "digest", "n"), "payloads")
     first = seen.where(F.col("n") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     again = seen.join(first, "digest").where("page_id is null or page_id > first").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to")).distinct()
-    rows = pages.join(written(again, "revisits"), pages["page_id"].eqNullSafe(F.col("_id")) & (pages["digest"] == F.col("_digest")), "left")
+    rows = pages.join(small(written(again, "revisits"), SMALL), pages["page_id"].eqNullSafe(F.col("_id")) & (pages["digest"] == F.col("_digest")), "left")
     rows = rows.select("page_id", "url", "html", "digest", F.col("refers_to").isNotNull().alias("revisit"), "refers_to")
     return written(rows.mapInArrow(_writer(folder), FILES), "warc-files")
 
@@ -115,50 +128,65 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")[1:]
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    return fields, rest[: int(fields["content-length"])]
+    block = rest[: int(fields.get("content-length", 0))]
+    if rest[len(block) :] != b"\r\n\r\n":
+        raise DamagedArchive(f"the record {fields.get('warc-record-id')} is not as long as it says")
+    return fields, block
 
 
 def members(source, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, decoded record) of each record that starts in [start, end) of an open file."""
 
-    def decode(at: int) -> tuple[bytes, int] | None:
-        """The member at ``at`` and where it ends; None if there is none."""
+    def decode(at: int, whole: bool = True) -> tuple[bytes, int] | None:
+        """The member at ``at`` (or only its beginning) and where it ends; None if none begins there."""
         unpack, parts, pos, checked = zlib.decompressobj(31), [], at, False
-        try:
-            while not unpack.eof:
-                source.seek(pos)
-                piece = source.read(min(PIECE if checked else 1 << 16, size - pos))
-                if not piece:
+        while not unpack.eof:
+            source.seek(pos)
+            piece = source.read(min(PIECE if checked else HEAD, size - pos))
+            try:
+                parts.append(unpack.decompress(piece) if piece else b"")
+            except zlib.error as why:
+                if checked:
+                    raise DamagedArchive(f"damaged record at byte {at}: {why}") from why
+                return None
+            pos += len(piece)
+            if not checked and len(got := b"".join(parts)) >= len(VERSION):
+                if not got.startswith(b"WARC/1."):
                     return None
-                pos += len(piece)
-                parts.append(unpack.decompress(piece))
-                if not checked:
-                    got = b"".join(parts)
-                    if len(got) >= len(VERSION) or unpack.eof:
-                        if not got.startswith(b"WARC/1."):
-                            return None
-                        checked = True
-        except zlib.error:
-            return None
-        return b"".join(parts), pos - len(unpack.unused_data)
-
-    at = start
-    while at < end:
-        found = decode(at) if at == 0 or at > start else None
-        if found is None:
+                if not whole:
+                    return got, pos
+                checked = True
+            if not piece:
+                if checked:
+                    raise DamagedArchive(f"the record at byte {at} is cut off")
+                return None
+        return (b"".join(parts), pos - len(unpack.unused_data)) if checked else None
+
+    def first() -> int | None:
+        """Where the first member of a range begins that is not the file's first."""
+        at = start
+        while at < end:
             source.seek(at)
-            window = source.read(min(PIECE, end - at, size - at) + len(MAGIC) - 1 if end < size else min(PIECE, size - at))
-            if not window:
-                return
+            window = source.read(min(PIECE, end - at) + len(MAGIC) - 1)
             k = window.find(MAGIC)
-            while k >= 0 and at + k < end and (found := decode(at + k)) is None:
+            while 0 <= k < end - at:
+                if decode(at + k, False):
+                    return at + k
                 k = window.find(MAGIC, k + 1)
-            if k < 0 or at + k >= end:
-                at += max(1, len(window) - len(MAGIC) + 1)
-                continue
-            at += k
+            at += max(1, len(window) - len(MAGIC) + 1)
+        return None
+
+    at = first() if start else 0
+    if at is None or not size:
+        return
+    while at < end:
+        found = decode(at)
+        if found is None:
+            raise DamagedArchive(f"no record begins at byte {at}")
         yield at, found[0]
         at = found[1]
+    if at < size and not decode(at, False):
+        raise DamagedArchive(f"no record begins at byte {at}")
 
 
 def _reader(with_payload: bool):
@@ -171,15 +199,20 @@ def _reader(with_payload: bool):
                 store, base = pafs.FileSystem.from_uri(path)
                 rows, held = [], 0
                 with store.open_input_file(base) as source:
+                    if source.size() != size:
+                        raise DamagedArchive(f"{path} has {source.size()} bytes, not {size}")
                     for _, raw in members(source, size, start, end):
                         fields, block = parse(raw)
+                        if fields.get("warc-type") not in ("response", "revisit"):
+                            continue
                         http, _, payload = block.partition(b"\r\n\r\n")
                         revisit = fields["warc-type"] == "revisit"
-                        length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                        digest = fields["warc-payload-digest"].rpartition(":")[2]
+                        length = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
+                        given = fields.get("warc-payload-digest", "")
+                        digest = given[7:] if given.startswith("sha256:") else hashlib.sha256(payload).hexdigest()
                         if not revisit and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
-                            raise ValueError(f"damaged record {fields['warc-record-id']} in {path}")
-                        rows.append((_page(fields["warc-record-id"]), fields.get("warc-target-uri"), length, digest, "revisit" if revisit else "response", _page(fields["warc-refers-to"]) if revisit else None, payload if with_payload and not revisit else None))
+                            raise DamagedArchive(f"damaged record {fields.get('warc-record-id')} in {path}")
+                        rows.append((_page(fields.get("warc-record-id", "")), fields.get("warc-target-uri"), length, digest, "revisit" if revisit else "response", _page(fields.get("warc-refers-to", "")) if revisit else None, payload if with_payload and not revisit else None))
                         held += len(payload) if with_payload else 0
                         if len(rows) >= 5000 or held > 16 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)

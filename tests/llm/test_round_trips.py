@@ -168,3 +168,28 @@ def test_cuts_follow_the_content():
     b = np.concatenate([rng.integers(0, 256, 777).astype(np.uint8), a])
     ends_a, ends_b = exact_dedup.cuts(a), exact_dedup.cuts(b)
     assert ends_a[-1] == len(a) and len(set(ends_a) & {e - 777 for e in ends_b}) > 0.8 * len(ends_a)
+
+
+@pytest.mark.parametrize("split", [97, 1000, 1 << 20])
+def test_damage_in_an_archive_is_an_error(spark, tmp_path, split):
+    rng = random.Random(4)
+    files = warc.write_warc(spark.createDataFrame([(i, None, prose(rng, 60)) for i in range(5)], "page_id long, url string, html string").coalesce(1)).collect()
+    path, size = files[0].path, files[0].bytes
+    sound = open(path.removeprefix("file://"), "rb").read()
+    assert len(sound) == size
+
+    def read(raw, size=None):
+        (tmp_path / "a.warc.gz").write_bytes(raw)
+        table = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", size or len(raw))], "path string, bytes long")
+        return warc.read_warc(table, split=split).count()
+
+    assert read(sound) == 5
+    second = sound.index(warc.MAGIC, 1)
+    for at in (0, 2, 12, 40, second - 5, second, second + 11, second + 60, size - 3):
+        with pytest.raises(Exception, match="DamagedArchive"):
+            read(sound[:at] + bytes([sound[at] ^ 0x41]) + sound[at + 1 :])
+    for raw in (sound[:-1], sound[:-300], sound[: second + 5], sound + b"x", sound[5:], sound[:second] + b"\0" + sound[second:]):
+        with pytest.raises(Exception, match="DamagedArchive"):
+            read(raw)
+    with pytest.raises(Exception, match="DamagedArchive"):
+        read(sound[:second], size)
