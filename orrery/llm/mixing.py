@@ -10,10 +10,11 @@ are then range-sorted by position.
 Only DataFrame functions are used.  Offsets need no window over a whole source: the order key is cut
 into ranges, the ranges' sums are prefix-summed in a table of one row for each source and range, and
 a window runs only inside a range.  The number of ranges follows the number of rows, so a source with
-a third of all rows is spread over many tasks.
+a third of all rows is spread over many tasks.  Where many rows share one doc_id, or have none, their
+one key is cut again by a number of the row.
 
 Defined results: null text has size 0; the null source is a source, sorted last; documents of size 0
-are never taken (position null); rows that agree in id, source and size are interchangeable; an empty
+are never taken (position null); rows that agree in id, source and text are interchangeable; an empty
 table gives an empty result; other columns of the input are ignored.
 """
 
@@ -25,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.plans.scratch import written
+from orrery.plans.scratch import small, written
 
 #: Knots (time, weight); the integrals are 5, 2 and 1.  Sources take them in turn.
 SCHEDULES = (((0.0, 6.0), (0.5, 5.0), (1.0, 4.0)), ((0.0, 1.0), (1.0, 3.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 WORD = r"[^\x20\x09-\x0D]+"
 KEYS = 1 << 31
-ROWS_PER_RANGE = 10_000
+ROWS_PER_RANGE = 2_000
+#: Rows of keys that may be broadcast.
+SMALL = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -83,6 +86,11 @@ def order_key(doc_id: Column) -> Column:
     return F.coalesce((F.abs(doc_id % F.lit(KEYS - 1)) * F.lit(1103515245) + F.lit(12345)) % F.lit(KEYS), F.lit(0)).cast("long")
 
 
+def text_mark(text: Column) -> Column:
+    """128 bits that tell texts apart; null is not the empty text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text, text.isNull()).alias("b"))
+
+
 def plan_mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0, rows_per_range: int = ROWS_PER_RANGE, label: Column | None = None) -> DataFrame:
     """(doc_id, source, text) to one row for each row: doc_id, size, source_size, target, taken, position, passes.
 
@@ -91,16 +99,33 @@ def plan_mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: flo
     """
     tag = [] if label is None else ["tag"]
     more = [] if label is None else [label.alias("tag")]
-    narrow = written(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), order_key(F.col("doc_id")).alias("key"), *more), "mix-sizes")
+    narrow = docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), order_key(F.col("doc_id")).alias("key"), F.monotonically_increasing_id().alias("row"), *more)
+    narrow = written(narrow, "mix-sizes")
     ranges = max(1, -(-narrow.count() // rows_per_range))
-    narrow = narrow.withColumn("part", F.floor(F.col("key") * F.lit(ranges) / F.lit(KEYS)).cast("long"))
+    part = F.floor(F.col("key") * F.lit(ranges) / F.lit(KEYS)).cast("long")
+    # keys that many rows share, and the number of tasks for each
+    hot = narrow.groupBy("source", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * rows_per_range)
+    hot = written(hot.select(F.col("source").alias("hot_source"), F.col("key").alias("hot_key"), F.ceil(F.col("n") / rows_per_range).cast("int").alias("cuts")), "mix-hot-keys")
+    narrow = narrow.withColumn("part", part)
+    if hot.take(1):
+        narrow = narrow.join(small(hot, SMALL), narrow["source"].eqNullSafe(hot["hot_source"]) & (narrow["key"] == hot["hot_key"]), "left")
+        # the rows of such a key stand alone, between those of smaller and of greater keys in its range
+        cut = F.when(F.col("cuts").isNotNull(), F.pmod(F.xxhash64("row"), F.col("cuts"))).otherwise(F.lit(0))
+        lone = F.when(F.col("cuts").isNotNull(), F.col("key"))
+        borders = hot.select(F.col("hot_source").alias("border_source"), F.floor(F.col("hot_key") * F.lit(ranges) / F.lit(KEYS)).cast("long").alias("border_part"), F.col("hot_key").alias("border"))
+        borders = borders.groupBy("border_source", "border_part").agg(F.array_sort(F.collect_list("border")).alias("borders"))
+        narrow = narrow.join(small(borders, SMALL, F.size("borders") + 1), narrow["source"].eqNullSafe(F.col("border_source")) & (narrow["part"] == F.col("border_part")), "left")
+        below = F.coalesce(F.size(F.filter("borders", lambda x: x < F.col("key"))), F.lit(0))
+        narrow = narrow.select("doc_id", "source", "size", "key", "row", *tag, F.struct("part", (2 * below + lone.isNotNull().cast("int")).alias("between"), cut.cast("int").alias("cut")).alias("part"))
+    else:
+        narrow = narrow.withColumn("part", F.struct("part", F.lit(0).alias("between"), F.lit(0).alias("cut")))
     parts = written(narrow.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
     target = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), schedules, share, most)
     earlier = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     parts = written(parts.join(target, same(parts, target)).select(parts["source"], "part", "ahead", "source_size", "kind", "target"), "mix-plan")
-    inside = W.partitionBy("source", "part").orderBy("key", "doc_id", "size", *tag).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "part").orderBy("key", "doc_id", "size", *tag, "row").rowsBetween(W.unboundedPreceding, -1)
     rows = narrow.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(parts, same(rows, parts) & (rows["part"] == parts["part"])).drop(parts["source"]).drop(parts["part"])
     offset = F.col("ahead") + F.col("within")
@@ -129,9 +154,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A use that the target cuts short counts if at least half of the document fits.
     """
-    tag = F.xxhash64("text")
-    plan = plan_mix(docs, label=tag, **options)
+    tag = F.struct(text_mark(F.col("text")).alias("text"), F.xxhash64("source").alias("source"))
+    plan = written(plan_mix(docs, label=tag, **options).select("doc_id", "tag", "size", "passes"), "mix-uses")
     use = plan.select("doc_id", "tag", F.explode(F.filter("passes", lambda p: p["words"] * 2 >= F.col("size"))).alias("use"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("id"), tag.alias("mark"), F.struct(*docs.columns).alias("document"))
-    out = whole.join(use, whole["id"].eqNullSafe(use["doc_id"]) & (whole["mark"] == use["tag"]))
-    return out.orderBy(F.col("use.position"), "id").select("document.*")
+    use = use.select(F.struct("doc_id", "tag").alias("wanted"), F.col("use.position").alias("at"))
+    whole = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag")).alias("mark"), F.struct(*docs.columns).alias("document"))
+    # of rows that agree in doc_id, source and text one meets the uses of all
+    repeated = written(plan.groupBy(F.struct("doc_id", "tag").alias("twice")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("twice"), "mix-repeats")
+    if repeated.take(1):
+        known = whole.join(small(repeated, SMALL), whole["mark"].eqNullSafe(F.col("twice")), "left")
+        one = known.where("twice is not null").groupBy("mark").agg(F.min_by("document", F.xxhash64(F.col("document").cast("string"))).alias("document"))
+        whole = known.where("twice is null").select("mark", "document").union(one)
+    return whole.join(use, whole["mark"].eqNullSafe(use["wanted"])).orderBy("at", "mark").select("document.*")
