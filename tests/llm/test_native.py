@@ -2,13 +2,14 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from orrery.llm import decontamination, line_dedup, mixing
-from tests.llm.common import ODD, docs, prose, shingles, words
+from tests.llm.common import ODD, docs, edited, prose, shingles, words
 
 
 def no_python(df):
@@ -138,3 +139,46 @@ def test_contained_items(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {x[0] for x in want} and kept.columns == docs(spark, texts).columns
     assert decontamination.contained_items(docs(spark, texts), bench.where("false")).collect() == []
     assert decontamination.contained_items(docs(spark, texts).where("false"), bench).collect() == []
+
+
+def test_mixed_rows_are_as_many_as_their_uses(spark):
+    rows = [(7, "a b c d", "s", 1)] * 5 + [(None, "x y z", "s", 1)] * 40 + [(8, "q w e", "t", 2)] * 2 + [(None, "x y z", None, 1), (None, None, None, None), (9, "", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(3)
+    for options in ({}, {"rows_per_range": 4}, {"rows_per_range": 1}):
+        plan = mixing.plan_mix(df, **options)
+        uses = plan.select("doc_id", F.explode(F.filter("passes", lambda p: p["words"] * 2 >= F.col("size")))).groupBy("doc_id").count()
+        got = no_python(mixing.mixed_documents(df, **options)).collect()
+        assert {r.doc_id: r["count"] for r in uses.collect()} == dict(Counter(r.doc_id for r in got))
+        assert set(map(tuple, got)) <= set(rows)
+        assert plan.count() == len(rows)
+        for source, part in (("s", 5 * 4 + 40 * 3), ("t", 6), (None, 3)):
+            some = [r for r in plan.where(F.col("source_size") == part).collect()]
+            assert abs(sum(r.taken for r in some) - some[0].target) < 1
+
+
+def test_rows_are_cleaned_by_their_texts(spark):
+    item = "one two three four five six seven eight"
+    items = spark.createDataFrame([(1, item), (1, None), (None, item), (2, "short item")], "item_id long, text string")
+    texts = [f"x {item.upper()} y", "clean text of more than five words here", None, "", f"{item} " * 3, "short item is not found in here"]
+    rows = [(i if k else None, t, k) for k in range(2) for i, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, size int")
+    got = no_python(decontamination.clean_documents(df, items))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for r in rows if r[1] not in (texts[0], texts[4]))
+    assert got.columns == df.columns
+
+
+def test_partitions_lose_nothing(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, n) for n in (5, 6, 8, 9, 12, 13, 19, 20, 21, 40, 60, 61, 200)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(k, f"{prose(rng, rng.randint(0, 300))} {edited(rng, rng.choice(texts), rng.choice([0, 0.02, 0.05, 0.1]))} {prose(rng, 30)}") for k in range(150)]
+    rows += [(1000 + k, " ".join(t.split(" ")[: rng.randint(4, 300)])) for k, t in enumerate(texts)]
+    want = {}
+    for d, t in rows:
+        mine = shingles(t) if len(words(t)) >= 5 else set()
+        for i, x in enumerate(texts):
+            n = len(mine & shingles(x))
+            if 10 * n >= 8 * len(shingles(x)):
+                want[d, i] = (len(shingles(x)), n)
+    got = decontamination.contained_items(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id): (r.n_shingles, r.n_found) for r in got} == want and len(want) > 60
