@@ -83,8 +83,8 @@ def signed(x):
 
 
 def lines_brute(texts):
-    def roll(parts):
-        seed = 42
+    def roll(mask, *parts):
+        seed = xxhash.xxh64_intdigest(mask.to_bytes(4, "little"), seed=42)
         for p in parts:
             seed = xxhash.xxh64_intdigest(p, seed=seed)
         return signed(seed)
@@ -93,18 +93,58 @@ def lines_brute(texts):
     for i, t in enumerate(texts):
         lines = (t or "").split("\n")
         h = [xxhash.xxh64_intdigest(x.encode(), seed=42).to_bytes(8, "little") for x in lines]
-        ends = [k for k in range(1, len(lines) + 1) if k == len(lines) or k > 1 and roll(h[k - 2 : k]) % 4 == 0]
-        chunks.append([lines[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        for k, c in enumerate(chunks[-1]):
-            first.setdefault(tuple(c), (i, k))
+        mine = set()
+        for k in range(line_dedup.CHUNKINGS):
+            for a in range(len(lines) - 1):
+                if roll(2 * k, *h[a : a + 2]) % 3 < 2:
+                    b = next((b for b in range(a, min(len(lines) - 1, a + 7)) if roll(2 * k + 1, *h[b : b + 2]) % 3 < 2), None)
+                    mine.add((a, min(a + 8, len(lines)) if b is None else b + 2))
+        chunks.append(sorted(mine))
+        for a, b in chunks[-1]:
+            if "".join(lines[a:b]).strip(" \t\n\x0b\f\r"):
+                first.setdefault(tuple(lines[a:b]), (i, a))
     for i, t in enumerate(texts):
-        gone = [k for k, c in enumerate(chunks[i]) if len(c) > 1 and first[tuple(c)] != (i, k)]
-        text = None if t is None else "\n".join("\n".join(c) for k, c in enumerate(chunks[i]) if k not in gone)
-        n = 0 if t is None else len(t.split("\n"))
-        out[i] = (n, sum(len(chunks[i][k]) for k in gone), len(gone), text)
+        lines = (t or "").split("\n")
+        gone = [(a, b) for a, b in chunks[i] if first.get(tuple(lines[a:b]), (i, a)) != (i, a)]
+        away = {k for a, b in gone for k in range(a, b)}
+        text = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in away)
+        out[i] = (0 if t is None else len(lines), len(away), len(gone), text)
     return out
 
 
+def test_repeated_passages_go_and_every_line_stays_once(spark):
+    rng = random.Random(12)
+    share = {}
+    for size in (2, 3, 4, 6, 8, 12):
+        passages = ["\n".join(prose(rng, 8) for _ in range(size)) for _ in range(40)]
+        texts = ["\n".join([prose(rng, 8), p, prose(rng, 8)]) for p in passages for _ in range(2)]
+        got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+        assert {x for r in got.values() for x in r.text.split("\n")} == {x for t in texts for x in t.split("\n")}
+        assert all(got[k].text == texts[k] for k in range(0, 80, 2))
+        share[size] = sum(got[k].removed_lines for k in range(1, 80, 2)) / (40 * size)
+    assert share[2] > 0.5 and share[3] > 0.75 and share[6] > 0.85 and share[12] > 0.9, share
+
+
+def test_lines_of_rows_without_ids(spark):
+    rng = random.Random(3)
+    text = "\n".join(prose(rng, 5) for _ in range(12))
+    df = spark.createDataFrame([(None, text), (None, text), (3, text), (3, text), (3, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.removed_lines, r.text) for r in line_dedup.dedup_lines(df).collect()]
+    assert sum(t == text for _, _, t in got) == 1 and (None, 0, text) in got and (3, 0, None) in got
+    again = line_dedup.dedup_lines(docs(spark, ["the same line\n" * 50])).first()
+    assert again.text.split("\n").count("the same line") in (1, 2, 3)
+
+
+def test_chunks_that_share_a_hash_are_compared(spark, monkeypatch):
+    """With chunk hashes that are all alike, equal bytes alone decide."""
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c, f=F.xxhash64: F.lit(7).cast("long") if len(c) == 1 and "slice" in str(c[0]) else f(*c))
+    rng = random.Random(6)
+    passage = "\n".join(prose(rng, 6) for _ in range(12))
+    texts = [prose(rng, 3) + "\n" + passage, "\n".join(prose(rng, 4) for _ in range(8)), passage, None, ""]
+    got = {r.doc_id: (r.n_lines, r.removed_lines, r.removed_chunks, r.text) for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert got == lines_brute(texts)
+
+
 def test_line_chunks(spark):
     rng = random.Random(6)
     passage = "\n".join(prose(rng, 6) for _ in range(30))
