@@ -3,28 +3,35 @@
 The Jaccard distance d is a metric.  Two sets are linked if d <= R.  The join returns the
 components of the link graph without listing all pairs of a group.
 
-1.  Regions of the whole space.  Nearly all pairs of sets have distance 1, where no pivot tells
-    anything, so the first regions come from a necessary condition.  Sets of a size slot are cut by
+1.  Filter.  Nearly all pairs of sets have distance 1, where no pivot tells anything and every Voronoi cell
+    would have to take in every set, so the space is first cut up by a necessary condition.  Sets of a size slot are cut by
     hash into parts, more than the D elements in which two linked sets can differ; so of N non-empty
     parts at least N - D are equal in both.  Parts equal in up to ``FEW`` sets give pairs, whose
     equal parts are counted: fewer than N - D less the set's parts that more sets have, and the
-    pair is out.  Sets of which too many parts are common for that to promise anything join all sets
-    like them through those parts, and sets with too many empty parts through the prefix of their
-    sorted hashes.  The components of that graph are the first regions: no link leaves one.
-2.  Regions with more than ``LEAF`` elements are split again by pivots, and at last by windows of size.  Each
-    set goes to the cell of its nearest pivot (Voronoi), and also to every cell whose pivot is at
-    most 2R farther, where by the triangle inequality a partner may live.  Sets within R of a
-    pivot are linked to it, and dropped if no set outside that ball can be within R of them.
+    pair is out.  Sets of which too many parts are common for that to promise anything are joined to
+    those parts themselves, and sets with too many empty parts to the prefix of their
+    sorted hashes.  The components of that graph are the first regions: no link leaves one.  Of a part
+    that many sets of a task have only a few entries travel to the part's bucket, for the others are known to be common there.
+2.  Regions with more than ``LEAF`` elements are split by pivots, where that leaves less to do.  Each set goes to the cell of its nearest pivot (Voronoi), and
+    also to every cell whose pivot is at most 2R farther, where by the triangle inequality a partner may live.  Sets within
+    R of a pivot are linked to it; pivots that share such a set are one group.  A cell with one group alone is done.
+    A cell in which one group leaves few others is cut into shares of the group, each
+    beside all of the others: two sets of a group need not meet again.  Sets within R of a
+    pivot are dropped if no set outside that ball can be within R of them.  The cells are the next regions.
 3.  In a region of at most ``LEAF`` elements the same goes on in one task with one pivot at a time:
-    links to the pivot, then sets covered by it are dropped unless the windows let a stranger reach them.
-4.  Regions that pivots do not shrink are compared in blocks, every pair of blocks in a task of its own.
+    links to the pivot, then sets covered by it are dropped unless the windows let a stranger reach them, and a
+    pivot whose window holds its own group alone is passed over.
+4.  Where most sets are within 3R of each other, windows take nearly all sets into every cell.  Such regions are left whole up to ``BLOCK``
+    elements (step 3); larger ones are cut into windows of size, and at last compared in blocks, every pair of blocks in a
+    task of its own.
 
-Every step is exact, and equal sets take part once.
+Equal sets take part once.  Sets are those of 64-bit shingle hashes (see ``text``): two different shingles count
+as one by a chance of 2**-64; every other step is exact.
 
 Defined results: A-Z are lowered; a text of 1 to 4 words has one shingle, its whole sequence; null text and
 text without words have none and stay alone (component_id is the doc_id); rows that
-share a doc_id are one document of the link graph; a null doc_id is left out of the minimum unless it is alone; an empty table gives
-an empty result; other columns are ignored.
+share a doc_id are documents of their own; a null doc_id is left out of the minimum unless its component has no other; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,18 +55,23 @@ K = 5
 PERCENT = 80
 R = 0.2
 SLOT = 1.6
-LEAF = 1_000_000
+#: Elements of a region that is joined as it is; of one that a task joins because pivots do not shrink it; and that a task
+#: measures against the pivots.
+LEAF, BLOCK, SHARE = 40_000, 1_000_000, 400_000
+#: How many times its elements the cells of a region may hold.
+GAIN = 1.5
 PIVOTS = 8
-LEVELS = 4
+LEVELS = 5
 NEAR = 0.7
 EPS = 1e-9
-SALT_ROWS = 2000
 SMALL = 300_000
 FEW = 8
 #: Signatures, or rows of groups, that a task holds before it passes them on.
 HELD = 500_000
-#: The bits of a signature after those of its bucket, with its lowest two; the low 48 bits of a set's first fingerprint.
-ENTRY = np.dtype([("sig", "u1", 5), ("node", "u1", 6)])
+#: The bits of a signature after those of its bucket, with its lowest two; a set's first fingerprint, its node.
+ENTRY = np.dtype([("sig", "u1", 5), ("node", "<i8")])
+#: What a task has found out by itself: an edge (kind 1) of nodes a and b, or that the part b of node a is common (4 and the parity).
+KNOWN = np.dtype([("a", "<i8"), ("b", "<i8"), ("kind", "u1")])
 
 
 def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,7 +121,40 @@ def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i + d, np.unique(every[begin[d] : begin[d + 1]])
 
 
-DOCS = [("bucket", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("parts0", pa.int64()), ("parts1", pa.int64()), ("blob", pa.binary())]
+DOCS = [("bucket", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("parts0", pa.int64()), ("parts1", pa.int64()), ("blob", pa.binary()), ("known", pa.binary())]
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted values: where each run begins, the run of each value, and its place in the run."""
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    run = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(x))))
+    return begin, run, np.arange(len(x)) - begin[run]
+
+
+def thinned(sig: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A task's signatures and nodes in order, less those of which it knows all there is to know; and that, as KNOWN."""
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    begin, run, place = _runs(sig)
+    star = (sig & U64(3) == U64(2)) & (place > 0)
+    common = (sig & U64(3) < U64(2)) & (place > FEW)
+    known = np.zeros(int(star.sum() + common.sum()), KNOWN)
+    known["a"] = np.concatenate([node[star], node[common]])
+    known["b"] = np.concatenate([node[begin[run[star]]], numbers(sig[common], bits)])
+    known["kind"] = np.concatenate([np.ones(star.sum(), np.uint8), (U64(4) + (sig[common] & U64(3))).astype(np.uint8)])
+    stays = ~(star | common)
+    return sig[stays], node[stays], known
+
+
+def short(sig: np.ndarray, bits: int) -> np.ndarray:
+    """The bytes of signatures that travel in a bucket."""
+    kept = (sig << U64(bits)) & ~U64((1 << 26) - 1) | (sig & U64(3)) << U64(24)
+    return kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def numbers(sig: np.ndarray, bits: int) -> np.ndarray:
+    """Signatures as they are known after their buckets: the bytes that travel, and the bucket's number."""
+    return _number(short(sig, bits)) | (sig >> U64(64 - bits)).astype(np.int64) << 40
 
 
 def _first(buckets: int, k: int):
@@ -117,26 +162,24 @@ def _first(buckets: int, k: int):
     schema = pa.schema(DOCS)
 
     def packed(docs: list[tuple], sigs: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-        """Document rows, and a row for each bucket with its entries."""
+        """Document rows, a row for each bucket with its entries, and one with what is known."""
         if sigs:
-            sig, node = np.concatenate(sigs), np.concatenate(nodes)
-            order = np.argsort(sig, kind="stable")
-            sig, node = sig[order], node[order]
+            sig, node, known = thinned(np.concatenate(sigs), np.concatenate(nodes), bits)
             entry = np.empty(len(sig), ENTRY)
-            kept = (sig << U64(bits)) & ~U64((1 << 26) - 1) | (sig & U64(3)) << U64(24)
-            entry["sig"] = kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            entry["node"] = node.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 2:]
+            entry["sig"], entry["node"] = short(sig, bits), node
             bucket = (sig >> U64(64 - bits)).astype(np.int64)
-            begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            begin = _runs(bucket)[0]
             ends = [*begin[1:].tolist(), len(sig)]
-            docs = docs + [(int(bucket[a]), *[None] * 7, entry[a:b].tobytes()) for a, b in zip(begin.tolist(), ends, strict=True)]
+            docs = docs + [(int(bucket[a]), *[None] * 8, entry[a:b].tobytes(), None) for a, b in zip(begin.tolist(), ends, strict=True)]
+            if len(known):
+                docs.append((docs[0][0], *[None] * 9, known.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*docs, strict=True), schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         docs, sigs, nodes, seen, held = [], [], [], {}, 0
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).to_pylist()
+            ids, marks = batch.column(0).cast(pa.int64()).to_pylist(), batch.column(2).to_pylist()
             for r, s in sets_of(batch.column(1), k):
                 fa, fb = fingerprints(s)
                 if len(s) and (fa, fb) not in seen:
@@ -144,7 +187,7 @@ def _first(buckets: int, k: int):
                     sigs.append(sig)
                     nodes.append(np.full(len(sig), fa, np.int64))
                     held += len(sig)
-                docs.append((row % buckets, ids[r], row, len(s), fa, fb, *(seen[fa, fb] if len(s) else (0, 0)), None))
+                docs.append((row % buckets, ids[r], marks[r], row, len(s), fa, fb, *(seen[fa, fb] if len(s) else (0, 0)), None, None))
                 row += 1
                 if held >= HELD:
                     yield packed(docs, sigs, nodes)
@@ -166,14 +209,13 @@ def _number(raw: np.ndarray) -> np.ndarray:
 
 def bucket_groups(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a bucket's entries: edges (a, b) by prefix; pairs (a, b, parity) of small groups; (node, signature, parity) of large ones."""
-    sig, node = _number(entries["sig"]), _number(entries["node"])
+    sig, node = _number(entries["sig"]), entries["node"].astype(np.int64)
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
     sig, node = sig[new], node[new]
-    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    size = np.diff(np.concatenate([begin, [len(sig)]]))
-    group = np.repeat(np.arange(len(begin)), size)
+    begin, group, _ = _runs(sig)
+    size = np.bincount(group, minlength=len(begin))
     kind, many = sig & 3, size[group]
     star = (kind == 2) & (many > 1)
     edges = np.array([node[star], node[begin[group[star]]]])
@@ -186,7 +228,7 @@ def bucket_groups(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return edges[:, edges[0] != edges[1]], np.concatenate(pairs, 1), np.array([node[large], sig[large], kind[large]])
 
 
-GROUPS = "kind int, doc_id long, row long, n long, fa long, fb long, parts0 long, parts1 long, a long, b long, parity int, count long"
+GROUPS = "kind int, doc_id long, mark long, row long, n long, fa long, fb long, parts0 long, parts1 long, a long, b long, parity int, count long"
 
 
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +241,7 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to = slice(at, at + 50_000)
             n = len(a[to])
             last = [pa.nulls(n, pa.int32()) if parity is None else pa.array(parity[to].astype(np.int32)), pa.nulls(n, pa.int64()) if count is None else pa.array(count[to])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.nulls(n, pa.int64())] * 7, pa.array(a[to]), pa.array(b[to]), *last], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.nulls(n, pa.int64())] * 8, pa.array(a[to]), pa.array(b[to]), *last], names=names)
 
     def flush() -> Iterator[pa.RecordBatch]:
         """What the buckets so far have given, repeats put together."""
@@ -226,11 +268,15 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from flush()
 
     for batch in batches:
-        blobs = batch.column(8)
-        docs = batch.filter(pc.is_null(blobs))
+        docs = batch.filter(pc.is_valid(batch.column(3)))
         if n := docs.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *docs.columns[1:8], *[pa.nulls(n, pa.int64())] * 2, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
-        for b, blob in zip(batch.column(0).to_pylist(), blobs, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *docs.columns[1:9], *[pa.nulls(n, pa.int64())] * 2, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
+        for b, blob, known in zip(batch.column(0).to_pylist(), batch.column(9), batch.column(10), strict=True):
+            if known.is_valid:
+                x = np.frombuffer(known.as_py(), KNOWN)
+                edges.append(np.array([x["a"], x["b"]])[:, x["kind"] == 1])
+                more = x[x["kind"] > 1]
+                yield from out(3, more["a"], more["b"], more["kind"] & 1)
             if blob.is_valid:
                 if b != bucket:
                     yield from close()
@@ -242,11 +288,11 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_edges(both: DataFrame) -> DataFrame:
-    """(a, b): a graph on the sets' nodes, no component of which any link leaves."""
-    node = F.col("fa").bitwiseAND(F.lit((1 << 48) - 1))
-    common = both.where("kind = 3").select(F.col("a").alias("node"), F.col("b").alias("sig"), "parity")
+    """(a, b): a graph on the sets' nodes and common parts, no component of which any link leaves."""
+    common = both.where("kind = 3").select(F.col("a").alias("node"), F.col("b").alias("sig"), "parity").distinct()
+    common = written(common, "common")
     many = common.groupBy("node").agg(*(F.sum(F.when(F.col("parity") == k, 1).otherwise(0)).alias(f"many{k}") for k in (0, 1)))
-    sets = both.where("kind = 0 and n > 0").groupBy(node.alias("node")).agg(F.min("n").alias("n"), F.min("parts0").alias("parts0"), F.min("parts1").alias("parts1"))
+    sets = both.where("kind = 0 and n > 0").groupBy(F.col("fa").alias("node")).agg(F.min("n").alias("n"), F.min("parts0").alias("parts0"), F.min("parts1").alias("parts1"))
     left = [(F.col(f"parts{k}") - F.coalesce(f"many{k}", F.lit(0))).alias(f"left{k}") for k in (0, 1)]
     known = written(sets.join(many, "node", "left").select("node", "n", *left), "parts")
     pairs = both.where("kind = 2").groupBy("a", "b", "parity").agg(F.sum("count").alias("count"))
@@ -260,22 +306,25 @@ def candidate_edges(both: DataFrame) -> DataFrame:
     own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SLOT)) + 1e-12) % 2
     most = [F.floor(F.when(own == k, F.col("n") / 4).otherwise(2 * F.col("n") / 9)) for k in (0, 1)]
     heavy = known.select("node", F.explode(F.array(*(F.when(F.col(f"left{k}") <= most[k] + 1, F.lit(k)) for k in (0, 1)))).alias("parity")).where("parity is not null")
-    joined = common.join(heavy, ["node", "parity"]).select("node", "sig")
-    stars = joined.join(joined.groupBy("sig").agg(F.min("node").alias("first")), "sig").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    # a common part is a node of the graph itself, so no task has to gather the sets that share it
+    stars = common.join(heavy, ["node", "parity"]).select(F.col("node").alias("a"), F.xxhash64("sig", "parity").alias("b"))
     return both.where("kind = 1").select("a", "b").union(pairs).union(stars)
 
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, region, fa, fb = (batch.column(c).to_pylist() for c in range(4))
-            out = []
-            for r, s in sets_of(batch.column(4), k):
-                if fingerprints(s) == (fa[r], fb[r]):  # a doc_id may stand for several texts
-                    out.append((rep[r], region[r], len(s), s.tobytes()))
-                if len(out) >= 1000:
+            region, fa, fb = (batch.column(c).to_pylist() for c in range(3))
+            out, held, seen = [], 0, set()
+            for r, s in sets_of(batch.column(3), k):
+                # a doc_id may stand for several texts, and several rows without one for the same
+                if fa[r] not in seen and fingerprints(s) == (fa[r], fb[r]):
+                    seen.add(fa[r])
+                    out.append((fa[r], region[r], len(s), s.tobytes()))
+                    held += len(s)
+                if held >= HELD:
                     yield _batch(out)
-                    out = []
+                    out, held = [], 0
             if out:
                 yield _batch(out)
 
@@ -301,6 +350,7 @@ def join_region(sets: list[np.ndarray], names: list[int]) -> list[tuple[int, int
     begin = np.searchsorted(owner, np.arange(len(order) + 1))
     marks = np.zeros(len(count), np.uint8)
     alive = np.ones(len(order), bool)
+    group = np.arange(len(order))
     found = []
     for p in range(len(order)):
         if not alive[p]:
@@ -308,9 +358,9 @@ def join_region(sets: list[np.ndarray], names: list[int]) -> list[tuple[int, int
         alive[p] = False
         mine = token[begin[p] : begin[p + 1]]
         reach = size[p] / (1 - 2 * R)
-        low, high = p + 1, int(np.searchsorted(size, reach + EPS, side="right"))
+        high = int(np.searchsorted(size, reach + EPS, side="right"))
         back = int(np.searchsorted(size, size[p] * (1 - 2 * R) - EPS))
-        if not len(mine) or (high <= low and not alive[back:p].any()):
+        if not len(mine) or not (alive[back:high] & (group[back:high] != group[p])).any():
             continue
         marks[mine] = 1
         part = token[begin[back] : begin[high]]
@@ -325,6 +375,8 @@ def join_region(sets: list[np.ndarray], names: list[int]) -> list[tuple[int, int
         strange = distance[here & ~link]
         nearest = strange.min() if len(strange) else 2.0
         found += [(name[back + int(i)], name[p]) for i in np.flatnonzero(link)]
+        same = np.unique(group[back:high][link])
+        group[np.isin(group, same)] = group[p]
         # covered: no set outside the pivot's ball can be within R
         alive[back:high][link & (distance + R < nearest - EPS)] = False
     return found
@@ -357,51 +409,80 @@ def leaf_links(members: DataFrame) -> DataFrame:
 
 
 def _distances(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Distances of the sets of a region (a share of them) to its pivots."""
+    """Distances of the sets of a region (a share of them) to its pivots, and the places of those within R."""
     if not len(left) or not len(right):
-        return pd.DataFrame({"rep": [], "region": [], "d": [], "links": []}).astype({"rep": "int64", "region": "int64"})
-    right = right.sort_values("place")
-    pivots = [np.frombuffer(x, U64) for x in right["elements"]]
-    names = right["rep"].tolist()
+        return pd.DataFrame({"rep": [], "region": [], "n": [], "d": [], "hits": []}).astype({"rep": "int64", "region": "int64", "n": "int64", "d": object, "hits": object})
+    pivots = [np.frombuffer(x, U64) for x in right.sort_values("place")["elements"]]
     out_d, out_l = [], []
     for elements in left["elements"]:
         s = np.frombuffer(elements, U64)
-        d, links = [], []
-        for name, p in zip(names, pivots, strict=True):
-            at = np.minimum(np.searchsorted(p, s), len(p) - 1)
-            inter = int((p[at] == s).sum())
-            d.append(1 - inter / (len(s) + len(p) - inter))
-            if 100 * inter >= PERCENT * (len(s) + len(p) - inter):
-                links.append(name)
-        out_d.append(d)
-        out_l.append(links)
-    return pd.DataFrame({"rep": left["rep"], "region": left["region"], "d": out_d, "links": out_l})
-
-
-def split_regions(members: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Split the regions of ``members``, all of them large: (new members, links to pivots)."""
+        inter = np.array([(p[np.minimum(np.searchsorted(p, s), len(p) - 1)] == s).sum() for p in pivots])
+        size = np.array([len(p) for p in pivots])
+        out_d.append((1 - inter / (len(s) + size - inter)).tolist())
+        out_l.append(np.flatnonzero(linked(inter, len(s), size)).tolist())
+    return pd.DataFrame({"rep": left["rep"], "region": left["region"], "n": left["n"], "d": out_d, "hits": out_l})
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, sets of places that one set is linked to) to (region, group of each place)."""
+    for batch in batches:
+        out = []
+        for every in batch.column(1).to_pylist():
+            group = list(range(PIVOTS))
+            for places in every:
+                same = {group[p] for p in places}
+                group = [min(same) if g in same else g for g in group]
+            out.append(group)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["region", "group"])
+
+
+def split_regions(members: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Split the regions of ``members``, all of them large: (members of cells, members of regions that do not shrink, links to pivots)."""
     picked = [F.min_by("rep", F.xxhash64("rep", F.lit(100 * level + j))).alias(f"p{j}") for j in range(PIVOTS)]
-    chosen = members.groupBy("region").agg(*picked, F.count(F.lit(1)).alias("rows"))
-    chosen = chosen.select("region", "rows", F.posexplode(F.array_distinct(F.array(*(f"p{j}" for j in range(PIVOTS))))).alias("place", "rep"))
-    pivots = written(members.join(chosen, ["region", "rep"]).select("region", "rep", "elements", "place", "rows"), "pivots")
-    shares = pivots.groupBy("region").agg(F.first("rows").alias("rows"))
-    salts = F.greatest(F.lit(1), F.ceil(F.col("rows") / SALT_ROWS)).cast("int")
-    left = members.join(small(shares, 10_000), "region").withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int"))
+    chosen = members.groupBy("region").agg(*picked, F.sum("n").alias("total"))
+    chosen = chosen.select("region", "total", F.posexplode(F.array_distinct(F.array(*(f"p{j}" for j in range(PIVOTS))))).alias("place", "rep"))
+    pivots = written(members.join(small(written(chosen, "chosen"), SMALL), ["region", "rep"]).select("region", "rep", "elements", "place", "total"), "pivots")
+    salts = F.greatest(F.lit(1), F.ceil(F.col("total") / SHARE)).cast("int")
+    shares = pivots.groupBy("region").agg(F.first("total").alias("total"))
+    left = members.join(small(shares, SMALL), "region").withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int"))
     right = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    found = left.groupBy("region", "salt").cogroup(right.groupBy("region", "salt")).applyInPandas(_distances, "rep long, region long, d array<double>, links array<long>")
+    found = left.groupBy("region", "salt").cogroup(right.groupBy("region", "salt")).applyInPandas(_distances, "rep long, region long, n long, d array<double>, hits array<int>")
     found = written(found, "distances")
-    links = written(found.select(F.col("rep").alias("a"), F.explode("links").alias("b")), "pivot-links")
+    hit = found.select(F.col("rep").alias("a"), "region", F.explode("hits").alias("place"))
+    names = pivots.select("region", "place", F.col("rep").alias("b"))
+    links = written(hit.join(small(names, SMALL), ["region", "place"]).select("a", "b"), "pivot-links")
+    groups = found.where(F.size("hits") > 0).groupBy("region").agg(F.collect_set("hits").alias("every"))
+    groups = written(groups.mapInArrow(_groups, "region long, group array<int>"), "pivot-groups")
+    # -1: linked to no pivot
+    found = found.join(small(groups, SMALL), "region", "left").withColumn("group", F.when(F.size("hits") > 0, F.get("group", F.get("hits", F.lit(0)))).otherwise(F.lit(-1)))
     at = found.select("rep", "region", F.posexplode("d").alias("j", "d"))
     # d > R is not quite "not linked": on the border the integers decide, so leave some room
     outside = at.where(F.col("d") > R - EPS).groupBy("region", "j").agg(F.min(F.when(F.col("d") > R + EPS, F.col("d")).otherwise(F.lit(0.0))).alias("nearest"))
-    covered = at.join(small(outside, 100_000), ["region", "j"], "left").where((F.col("d") < R - EPS) & (F.col("d") + R < F.coalesce("nearest", F.lit(9.0)) - EPS)).select("region", "rep").distinct()
+    covered = at.join(small(written(outside, "outside"), SMALL), ["region", "j"], "left").where((F.col("d") < R - EPS) & (F.col("d") + R < F.coalesce("nearest", F.lit(9.0)) - EPS)).select("region", "rep").distinct()
     stays = found.join(covered, ["region", "rep"], "left_anti")
     least = F.array_min("d")
     home = F.when(least <= NEAR, F.array_position("d", least).cast("int") - 1).otherwise(F.lit(-1))
     window = F.filter(F.transform("d", lambda d, j: F.struct(d.alias("d"), j.alias("j"))), lambda x: (x["j"] != F.col("home")) & (x["d"] <= F.least(F.col("least") + 2 * R, F.lit(NEAR + R)) + EPS))
-    cells = stays.withColumn("least", least).withColumn("home", home).select("region", "rep", F.explode(F.concat(F.array("home"), F.transform(window, lambda x: x["j"]))).alias("cell"))
-    new = members.join(small(written(cells, "cell-members"), SMALL), ["region", "rep"]).select("rep", F.xxhash64("region", "cell", F.lit(level)).alias("region"), "n", "elements")
-    return written(new, "cells"), links
+    cells = stays.withColumn("least", least).withColumn("home", home).select("region", "rep", "n", "group", F.explode(F.concat(F.array("home"), F.transform(window, lambda x: x["j"]))).alias("cell"))
+    cells = written(cells, "cell-members")
+    part = cells.groupBy("region", "cell", "group").agg(F.sum("n").alias("of_group"), F.count(F.lit(1)).alias("sets"))
+    cell = part.groupBy("region", "cell").agg(F.sum("of_group").alias("all"), F.sum("sets").alias("sets"), F.max(F.when(F.col("group") >= 0, F.struct("of_group", "group"))).alias("largest"))
+    others = F.col("all") - F.coalesce("largest.of_group", F.lit(0))
+    live = cell.where((F.col("sets") > 1) & (others > 0))
+    # shares of the largest group beside all of the others, where these are few
+    cuts = F.when((others <= LEAF // 2) & (F.col("all") > LEAF), F.ceil(F.col("largest.of_group") / (LEAF // 2)).cast("int")).otherwise(F.lit(1))
+    live = written(live.select("region", "cell", "all", others.alias("others"), cuts.alias("cuts"), F.col("largest.group").alias("main")), "cells-left")
+    # a region whose cells hold much more than it does is left as it was
+    after = live.groupBy("region").agg(F.sum(F.col("all") + (F.col("cuts") - 1) * F.col("others")).alias("after"))
+    stuck = small(written(after.join(shares, "region").where(F.col("after") > GAIN * F.col("total")).select("region"), "stuck"), SMALL)
+    hard = written(members.join(stuck, "region", "left_semi").select(*members.columns), "hard")
+    live = small(written(live.join(stuck, "region", "left_anti").select("region", "cell", "cuts", "main"), "cells-next"), SMALL)
+    every = F.sequence(F.lit(0), F.col("cuts") - 1)
+    share = F.when(F.coalesce(F.col("group") == F.col("main"), F.lit(False)), F.array(F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))).otherwise(every)
+    placed = cells.join(live, ["region", "cell"]).select("region", "rep", "cell", F.explode(share).alias("share"))
+    placed = written(placed, "placed")
+    new = members.join(small(placed, SMALL), ["region", "rep"]).select("rep", F.xxhash64("region", "cell", "share", F.lit(level)).alias("region"), "n", "elements")
+    return written(new, "cells"), hard, links
 
 
 def by_size(members: DataFrame) -> DataFrame:
@@ -413,7 +494,7 @@ def by_size(members: DataFrame) -> DataFrame:
 
 def in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Every pair of blocks of a region as a region of its own; exact for regions that do not shrink."""
-    blocks = F.greatest(F.lit(2), F.ceil(F.col("total") / (LEAF // 2))).cast("int")
+    blocks = F.greatest(F.lit(2), F.ceil(F.col("total") / (BLOCK // 2))).cast("int")
     rows = members.join(sizes.select("region", blocks.alias("blocks")), "region").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("mine")))
     rows = rows.select("rep", "n", "elements", "region", "mine", other.alias("other"))
@@ -428,50 +509,64 @@ def region_links(members: DataFrame) -> DataFrame:
         nonlocal links
         links = more if links is None else links.union(more)
 
-    for level in range(LEVELS + 1):
+    def leaves(members: DataFrame, most: int) -> tuple[DataFrame, DataFrame] | None:
+        """Join the regions of up to ``most`` elements; members and sizes of the others, None if there are none."""
         sizes = members.groupBy("region").agg(F.sum("n").alias("total"))
-        large = written(sizes.where(F.col("total") > LEAF), "large")
-        if not large.count():
+        large = written(sizes.where(F.col("total") > most), "large")
+        if not large.take(1):
+            add(written(leaf_links(members), "links"))
+            return None
+        names = small(large.select("region"), SMALL)
+        add(written(leaf_links(members.join(names, "region", "left_anti")), "links"))
+        return written(members.join(names, "region", "left_semi").select("rep", "region", "n", "elements"), "large-members"), large
+
+    hard: DataFrame | None = None
+    for level in range(LEVELS + 1):
+        left = leaves(members, LEAF)
+        if left is None:
             break
-        add(written(leaf_links(members.join(small(large.select("region"), 10_000), "region", "left_anti").select("rep", "region", "n", "elements")), "links"))
-        rest = members.join(small(large.select("region"), 10_000), "region", "left_semi").select("rep", "region", "n", "elements")
-        if level == LEVELS:
-            members = in_blocks(rest, large)
-        elif level == LEVELS - 1:
-            members = written(by_size(rest), "size-windows")
-        else:
-            members, more = split_regions(written(rest, "large-members"), level)
+        members, stuck = (members.where("false"), left[0]) if level == LEVELS else (None, None)
+        if stuck is None:
+            members, stuck, more = split_regions(left[0], level)
             add(more)
-    add(written(leaf_links(members), "links"))
+        hard = stuck if hard is None else hard.union(stuck)
+    if hard is not None and hard.take(1):
+        left = leaves(hard, BLOCK)
+        left = left and leaves(written(by_size(left[0]), "size-windows"), BLOCK)
+        if left:
+            add(written(leaf_links(in_blocks(*left)), "links"))
     return links
 
 
 def jaccard_rows(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, row, n, component_id, first) of each row; ``first``: the row that stands for its component."""
-    pairs = docs.select(F.col("doc_id").cast("long"), "text")
+    """(doc_id, mark, row, n, component_id, first) of each row; ``mark``: xxhash64 of its text; ``first``: it stands for its component."""
+    pairs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
     # a bucket for some thousand documents, and a task for some eight buckets, at any size
     buckets = 1 << max(6, min(20, (max(1, docs.count()) // 1000).bit_length()))
-    schema = ", ".join(f"{x} {'binary' if x == 'blob' else 'long'}" for x, _ in DOCS)
+    schema = ", ".join(f"{x} {'binary' if t == pa.binary() else 'long'}" for x, t in DOCS)
     both = pairs.mapInArrow(_first(buckets, k), schema).repartition(buckets // 8, "bucket").sortWithinPartitions("bucket").mapInArrow(_second, GROUPS)
     both = written(both, "groups")
-    rows = both.where("kind = 0").select("doc_id", "row", "n", "fa", "fb")
+    rows = both.where("kind = 0").select("doc_id", "mark", "row", "n", "fa", "fb")
     keep: list[DataFrame] = []
     with passing(keep):
         regions = components(candidate_edges(both))
-        sets = rows.where("n > 0 and doc_id is not null").groupBy("n", "fa", "fb").agg(F.min(F.struct("doc_id", "row")).alias("rep"))
-        sets = written(sets, "sets")
-        node = F.col("fa").bitwiseAND(F.lit((1 << 48) - 1))
-        known = sets.select(F.col("rep.doc_id").alias("rep"), "fa", "fb", node.alias("node")).join(regions, "node").select("rep", F.col("root").alias("region"), "fa", "fb")
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "mark")).alias("rep")
+        sets = written(rows.where("n > 0").groupBy("n", "fa", "fb").agg(best), "sets")
+        known = sets.join(regions, sets["fa"] == regions["node"]).select(F.col("rep.doc_id").alias("id"), F.col("rep.mark").alias("of"), F.col("root").alias("region"), "fa", "fb")
         known = written(known, "region-members")
-        texts = pairs.join(small(known, SMALL), pairs["doc_id"] == known["rep"]).select("rep", "region", "fa", "fb", "text")
-        members = written(texts.mapInArrow(_sets(k), "rep long, region long, n long, elements binary"), "members")
-        named = components(region_links(members))
-        named = sets.join(named, sets["rep.doc_id"] == named["node"], "left").select("n", "fa", "fb", F.col("rep.row").alias("rep_row"), F.coalesce("root", F.col("rep.doc_id")).alias("component_id"))
-        keep.append(written(named, "named"))
+        texts = pairs.join(small(known, SMALL), pairs["doc_id"].eqNullSafe(known["id"]) & (pairs["mark"] == known["of"])).select("region", "fa", "fb", "text")
+        members = texts.mapInArrow(_sets(k), "rep long, region long, n long, elements binary")
+        if known.where("id is null").take(1):
+            members = members.dropDuplicates(["rep"])
+        links = components(region_links(written(members, "members")))
+        rooted = sets.join(links, sets["fa"] == links["node"], "left").select("n", "fa", "fb", "rep", F.coalesce("root", "fa").alias("root"))
+        rooted = written(rooted, "rooted")
+        heads = rooted.groupBy("root").agg(F.min("rep").alias("head"))
+        keep.append(written(rooted.join(heads, "root").select("n", "fa", "fb", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head")), "named"))
     named = keep[0]
-    some = rows.where("n > 0").join(named, ["n", "fa", "fb"], "left")
-    alone = rows.where("n = 0").select("doc_id", "row", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
-    return some.select("doc_id", "row", "n", "component_id", F.coalesce((F.col("row") == F.col("rep_row")) & (F.col("doc_id") == F.col("component_id")), F.lit(True)).alias("first")).union(alone)
+    some = rows.where("n > 0").join(named, ["n", "fa", "fb"])
+    alone = rows.where("n = 0").select("doc_id", "mark", "row", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return some.select("doc_id", "mark", "row", "n", "component_id", (F.col("row") == F.col("head")).alias("first")).union(alone)
 
 
 def jaccard_components(docs: DataFrame, k: int = K) -> DataFrame:

@@ -43,7 +43,7 @@ def families(seed):
     return texts
 
 
-@pytest.mark.parametrize("limits", [{}, {"LEAF": 3000, "SALT_ROWS": 7}, {"LEAF": 700, "SALT_ROWS": 5, "LEVELS": 2}, {"FEW": 2}, {"FEW": 2, "LEAF": 1500}])
+@pytest.mark.parametrize("limits", [{}, {"LEAF": 3000, "SHARE": 2000}, {"LEAF": 700, "SHARE": 900, "BLOCK": 1500, "LEVELS": 2}, {"FEW": 2}, {"FEW": 2, "LEAF": 1500, "GAIN": 9.0, "BLOCK": 3000}, {"FEW": 1, "HELD": 300, "LEAF": 1000}])
 def test_components_match_brute_force(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(jaccard, k, v)
@@ -59,6 +59,53 @@ def test_empty_table_and_null_ids(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == [("3", 0, "3"), ("3", 2, "3"), ("None", 0, "None"), ("None", 2, "3")]
 
 
+def test_rows_without_ids_are_joined_too(spark):
+    rng = random.Random(4)
+    base = prose(rng, 60)
+    rows = [(None, base), (None, base), (7, base + " extra"), (None, base + " more words"), (9, prose(rng, 60)), (9, base + " again"), (None, prose(rng, 50)), (None, "a b")] + [(None, "one two three four five six")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.jaccard_rows(df).select("doc_id", "component_id", "first", "n").collect()
+    assert len(got) == len(rows) and sum(r.first for r in got) == 5
+    assert sorted(str(r.component_id) for r in got) == sorted(["7"] * 5 + ["9"] + ["None"] * 5)
+    assert {r.doc_id for r in got if r.first} == {7, 9, None}
+
+
+def test_texts_with_equal_polynomials_are_not_linked(spark):
+    texts = []
+    for n in (1024, 2048):
+        one = "".join("ab"[k.bit_count() & 1] for k in range(n))
+        two = one.translate({97: "b", 98: "a"})
+        texts += [f"{one} x y z w", f"{two} x y z w", f"{one} x y z w", f"{two} x y z W v"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, texts)).collect()}
+    assert got == brute(texts)
+
+
+@pytest.mark.parametrize("leaf", [800, 40_000])
+def test_tight_groups_beside_strangers(spark, monkeypatch, leaf):
+    """Many near copies of one text, some of which only a chain connects, with FEW exceeded everywhere."""
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "BLOCK", 5 * leaf)
+    rng = random.Random(leaf)
+    base = prose(rng, 90)
+    texts = [edited(rng, base, rng.choice([0.005, 0.01, 0.02, 0.03])) for _ in range(150)]
+    far = base
+    for _ in range(40):
+        far = edited(rng, far, 0.02)
+        texts.append(far)
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, texts)).collect()}
+    assert got == brute(texts)
+
+
+def test_registered_query_splits_regions_by_pivots(spark, monkeypatch):
+    from orrery.llm.queries import op6_jaccard_components
+
+    seen = []
+    monkeypatch.setattr(jaccard, "split_regions", lambda members, level, f=jaccard.split_regions: seen.append(level) or f(members, level))
+    assert op6_jaccard_components(spark, "/root/testdata/check_s").count() > 50_000
+    assert seen
+
+
 def test_linked_sets_always_share_a_signature():
     rng = np.random.default_rng(1)
     for _ in range(1500):
