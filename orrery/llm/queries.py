@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import decontamination, exact_dedup, html, jaccard, langid, line_dedup, mixing, passages, tokens, warc
+from orrery.llm import pipeline as stages
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_shared_passages, op3_html_text, op4_mix_curriculum, op5_token_files, op6_jaccard_components, op7_line_chunks, op8_decontaminate, op9_warc_round_trip, op10_exact_dedup, pipeline)}
