@@ -1,78 +1,5 @@
-"""A corpus from raw documents to token files, in five stages.
+"""The five stages from documents to token files; they live with the operators in ``orrery.llm``."""
 
-Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the
-next one's ``docs``.  All but the last return the columns of ``documents``.
+from orrery.llm.pipeline import ORACLE_SQL, STAGES, run
 
-Rows: a document that a stage keeps goes on as it is.  Language ID rejects documents in which it finds no
-language (null, no letter) or is unsure (score below ``SURE``).  Of each component of the Jaccard
-join the smallest doc_id stays; documents without words are alone in theirs, and rows without doc_id stay.  A document that holds a benchmark item goes.  The mix takes a document not at all, once or twice,
-whole, and orders documents by training position; the token files are in doc_id order.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from orrery.llm import decontamination, jaccard, langid, mixing, tokens
-from orrery.plans.scratch import small, written
-from orrery.plans.ship import shipped
-
-SURE = 0.35
-
-
-@shipped
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the classifier knows."""
-    model = langid.train(docs, held_out=None)
-    told = langid.identify(docs, model, F.struct(*docs.columns).alias("document"))
-    return told.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= SURE)).select("document.*")
-
-
-@shipped
-def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, the one with the smallest doc_id."""
-    rows = jaccard.jaccard_rows(docs).where("doc_id is not null")
-    ids = written(rows.groupBy("doc_id").agg(F.bool_or("first").alias("first"), F.count(F.lit(1)).alias("n")), "groups")
-    out = docs.join(small(ids.where("not first").select("doc_id"), 1_000_000), "doc_id", "left_anti").select(*docs.columns)
-    repeated = ids.where("n > 1 and first").select(F.col("doc_id").alias("id"))
-    if not repeated.take(1):
-        return out
-    # rows that share a doc_id are one document: the one with the smallest hash of its text stays
-    packed = out.select(F.struct(*docs.columns).alias("document")).join(small(repeated, 1_000_000), F.col("document.doc_id") == F.col("id"), "left")
-    best = packed.where("id is not null").groupBy("id").agg(F.min_by("document", F.xxhash64("document.text")).alias("document")).select("document")
-    return packed.where("id is null").select("document").union(best).select("document.*")
-
-
-@shipped
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that hold no benchmark item."""
-    return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-@shipped
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
-    return mixing.mixed_documents(docs)
-
-
-@shipped
-def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token files and read each document's entry back from them."""
-    return tokens.read_tokens(tokens.write_tokens(docs))
-
-
-STAGES = [("language ID", language_id), ("n-gram Jaccard join", jaccard_join), ("benchmark decontamination", decontaminate), ("mixing to target weights", mix), ("token files", token_files)]
-
-#: Language ID is a trained model, which SQL cannot express.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, "stage")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

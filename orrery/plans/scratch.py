@@ -1,8 +1,9 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
 A table written here cuts the lineage and survives the loss of any executor, which a local
-checkpoint does not.  The folder is the session's ``spark.checkpoint.dir``; only where that is
-unset (tests, one machine) a folder of our own takes its place.
+checkpoint does not.  The folder is the session's ``spark.checkpoint.dir``, or the one given to
+``SparkContext.setCheckpointDir``; only where neither is set and all tasks run in the driver's own process (tests, one machine)
+a folder of our own takes its place.
 """
 
 from __future__ import annotations
@@ -11,15 +12,22 @@ import atexit
 import contextlib
 import shutil
 import tempfile
+import threading
 import uuid
-
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
-_open: list[list[DataFrame]] = []
+#: The tables of the blocks that each thread is in.
+_open = threading.local()
+
+
+def _blocks() -> list[list[DataFrame]]:
+    if not hasattr(_open, "blocks"):
+        _open.blocks = []
+    return _open.blocks
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    given = spark._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="orrery-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -43,8 +56,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    if _open:
-        _open[-1].append(out)
+    if _blocks():
+        _blocks()[-1].append(out)
     return out
 
 
@@ -54,16 +67,16 @@ def passing(keep: list[DataFrame]) -> Iterator[None]:
 
     What leaves the block must not read a dropped table: write it, and keep it.
     """
-    _open.append([])
+    _blocks().append([])
     try:
         yield
     finally:
-        mine = _open.pop()
+        mine = _blocks().pop()
         for df in mine:
             if not any(df is k for k in keep):
                 drop(df)
-            elif _open:
-                _open[-1].append(df)
+            elif _blocks():
+                _blocks()[-1].append(df)
 
 
 def drop(df: DataFrame) -> None:
