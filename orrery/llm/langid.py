@@ -7,11 +7,12 @@ fitted on rows kept out of training calibrates the scores.
 The term frequency of an n-gram is its share of all n-grams of the lowered text, so a text's scores are
 the mean of one table row for each n-gram, and a text of any length is scored whole in pieces.
 
-Training takes a bounded sample: for each labelled language the ``per_language`` rows with the
-smallest hash of doc_id.  Everything else covers all rows.
+Training takes a bounded sample: of the ``LANGUAGES`` labels with the most rows each the ``per_language`` distinct rows with the
+smallest hash of doc_id and text, up to ``BYTES`` of text for a label; longer texts are not learned from.  These bounds hold before anything
+comes to the driver, whatever labels, texts or repeats the table has.  Everything else covers all rows.
 
 Defined results: null text and text without a letter get ``und`` and score 0; with no labelled row
-to learn from every text gets that; equal scores go to the language first by code point; rows
+to learn from every text gets that; labels beyond ``LANGUAGES`` are not learned; equal scores go to the language first by code point; rows
 with null doc_id are predicted but neither learned from nor held out; other columns are ignored.
 """
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 BITS = 18
 ORDERS = (1, 2, 3, 4)
-PER_LANGUAGE = 400
+#: Bounds of the training sample: labels, rows of each, and bytes of text of each.
+LANGUAGES, PER_LANGUAGE, BYTES = 64, 400, 3_000_000
 PIECE = 1 << 19
 SCALE = 64.0
 UND = "und"
@@ -148,26 +150,38 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, held_out: int | None = 1) -> Model:
-    """Learn from text and lang of labelled rows outside the held-out fold; at most ``per_language`` rows of each."""
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 40))
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, most: int = BYTES) -> list[tuple[str, str]]:
+    """(text, lang) of the rows to learn from, in a fixed order."""
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 40))
+    rows = docs.select("lang", "text", place.alias("place")).where(F.col("text").rlike("\\p{L}") & (F.octet_length("text") <= most))
+    # distinct rows are estimated, as repeats are learned from once
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("place").alias("distinct")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    keep = F.lit(False)
+    for r in counts:
+        # a little more than is wanted, so that chance seldom leaves less
+        share = min(1.0, 1.1 * (1.3 * per_language + 30) / max(r["distinct"], 1))
+        keep |= (F.col("lang") == r["lang"]) & (F.col("place") < F.lit(int(share * (1 << 40))))
+    if not counts:
+        return []
+    some = rows.where(keep).groupBy("lang", "place").agg(F.min(F.octet_length("text")).alias("bytes"))
+    left, chosen = {r["lang"]: (per_language, most) for r in counts}, []
+    for r in sorted(some.collect(), key=lambda r: (r.place, r.lang)):
+        n, size = left[r.lang]
+        if n and r.bytes <= size:
+            left[r.lang] = n - 1, size - r.bytes
+            chosen.append((r.lang, r.place))
+    names = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, place long"))
+    found = rows.join(names, ["lang", "place"]).groupBy("place", "lang").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r.lang) for r in sorted(found, key=lambda r: (r.place, r.lang))]
+
+
+def train(docs: DataFrame, held_out: int | None = 1, **bounds: int) -> Model:
+    """Learn from text and lang of labelled rows outside the held-out fold; ``bounds``: those of ``sample``."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null")
     if held_out is not None:
         rows = rows.where(fold(F.col("doc_id")) != held_out)
-    counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        # a little more than is wanted, so that chance seldom leaves less
-        share = min(1.0, (1.3 * per_language + 30) / n)
-        keep |= (F.col("lang") == lang) & (place < F.lit(int(share * (1 << 40))))
-    found = rows.where(keep).select("lang", "text", "doc_id", place.alias("place")).collect() if counts else []
-    texts, labels, taken = [], [], dict.fromkeys(counts, 0)
-    for r in sorted(found, key=lambda r: (r.place, r.doc_id, r.lang, r.text)):
-        if taken[r.lang] < per_language and has_letter(r.text):
-            taken[r.lang] += 1
-            texts.append(r.text)
-            labels.append(r.lang)
-    return fit(texts, labels)
+    found = sample(rows, **bounds)
+    return fit([t for t, _ in found], [y for _, y in found])
 
 
 def identify(docs: DataFrame, model: Model, *more: Column | str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import zlib
 from html import unescape
 
 import pytest
@@ -214,3 +215,28 @@ def test_query_against_the_articles_of_the_pages(spark):
         parts = [unescape(re.sub(r"<[^>]*>", "", x)) for x in re.split(r"</?(?:p|h1|h2|div|ul|li)\b[^>]*>", inner)]
         assert r.text == "\n".join(x for x in (" ".join(p.split()) for p in parts) if x)
         assert r.n_chars == len(r.text)
+
+
+def test_the_training_sample_is_bounded(spark):
+    rng = random.Random(5)
+    rows = [(i, f"{TONGUES['en']} {prose(rng, 5)}", f"label{i % 40:02d}") for i in range(400)]
+    rows += [(7, f"{TONGUES['de']} {prose(rng, 3)} {k}", "de") for k in range(300)]  # one doc_id, many texts
+    rows += [(8, TONGUES["fr"], "fr")] * 500 + [(9, "x" * 5000, "long"), (10, None, "fr"), (11, "12 34", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = langid.sample(df, per_language=20, languages=5, most=3000)
+    assert found == langid.sample(df.repartition(2), per_language=20, languages=5, most=3000)
+    by = {y: [t for t, z in found if z == y] for _, y in found}
+    assert len(by) <= 5 and "long" not in by and by["fr"] == [TONGUES["fr"]]
+    assert all(len(x) <= 20 and sum(len(t.encode()) for t in x) <= 3000 for x in by.values()) and len(by["de"]) > 10
+
+
+def test_held_out_languages_of_the_query(spark):
+    from orrery.llm.queries import op1_language_id
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    got = op1_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").collect()
+    told = [r for r in got if r.held_out and r.lang is not None]
+    assert len(told) > 200 and sum(r.lang_pred == r.lang for r in told) / len(told) > 0.98
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(map(str.isalpha, r.text or "")))
