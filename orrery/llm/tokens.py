@@ -45,8 +45,8 @@ from orrery.plans.scratch import new_dir, written
 END = 2
 BLOCK_IDS = 1 << 18
 ROLL = 1 << 23
-#: Pieces in each of the two tables of a worker, and those sent to the tokenizer at once.
-CACHE, LEARN = 300_000, 100_000
+#: Pieces in each of the two tables of a worker, those sent to the tokenizer at once, and bytes of texts encoded together.
+CACHE, LEARN, TEXTS = 300_000, 400, 4 << 20
 MAGIC = b"ORTK"
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -106,7 +106,10 @@ class Encoder:
         self.own = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.by_pieces = cut_alike(json.load(f))
-        self.special = [t.content.encode() for t in self.own.get_added_tokens_decoder().values()]
+        added = self.own.get_added_tokens_decoder()
+        self.special = [t.content.encode() for t in added.values()]
+        sound = [(t.content.encode(), k) for k, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.between = min(sound, default=None)
         self.type = np.dtype("<u2" if max(self.own.get_vocab(True).values(), default=0) < 1 << 16 else "<u4")
         self.cache = CACHE if cache is None else cache
         self.new: dict[bytes, bytes] = {}
@@ -118,16 +121,32 @@ class Encoder:
         for k in [k for k, x in enumerate(out) if x is None]:
             out[k] = self.old.get(pieces[k])
         at = [k for k, x in enumerate(out) if x is None]
-        for low in range(0, len(at), LEARN):
-            some = at[low : low + LEARN]
-            for k, e in zip(some, self.own.encode_batch_fast([pieces[k].decode() for k in some], add_special_tokens=False), strict=True):
-                out[k] = np.array(e.ids, self.type).tobytes()
+        if at:
+            for k, x in zip(at, self.learned([pieces[k] for k in at]), strict=True):
+                out[k] = x
         if len(self.new) + len(pieces) > self.cache:
             self.old, self.new = self.new, {}
         if len(pieces) <= self.cache:
             self.new.update(zip(pieces, out, strict=True))
         return out
 
+    def learned(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces from the tokenizer, ``LEARN`` at once.
+
+        The tokenizer splits texts at its special tokens before all else, so pieces joined by one keep their ids, and
+        the special token's id tells them apart.
+        """
+        if self.between is None or any(x in p for x in self.special for p in pieces):
+            return [self._plain(p).tobytes() for p in pieces]
+        out, width = [], self.type.itemsize
+        for low in range(0, len(pieces), LEARN):
+            some = pieces[low : low + LEARN]
+            (found,) = self.own.encode_batch_fast([self.between[0].join(some).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, self.type)
+            raw, ends = ids.tobytes(), [*(np.flatnonzero(ids == self.between[1]) * width).tolist(), len(ids) * width]
+            out += [raw[a:b] for a, b in zip([0, *(x + width for x in ends[:-1])], ends, strict=True)]
+        return out
+
     def _plain(self, raw: bytes) -> np.ndarray:
         return np.array(self.own.encode(raw.decode(), add_special_tokens=False).ids, self.type)
 
@@ -243,7 +262,7 @@ def _writer(folder: str, path: str, end: int):
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for i, j, raw, offs in text_blocks(batch.column(1)):
+            for i, j, raw, offs in text_blocks(batch.column(1), TEXTS):
                 for d, found in zip(ids[i:j], encode(raw, offs), strict=True):
                     docs.append((d, np.concatenate([found, last])))
                     many += len(docs[-1][1])
