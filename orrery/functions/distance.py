@@ -69,8 +69,19 @@ def vector(values) -> Column:
     return F.array(*(F.lit(float(x)) for x in values))
 
 
+def direct(name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows of ``a`` to the same rows of ``b``, in double; equal vectors get equal distances wherever they stand."""
+    if name == "l2":
+        return ((a - b) ** 2).sum(1)
+    product = (a * b).sum(1)
+    if name == "inner_product":
+        return 0.0 - product
+    both = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
+    return np.where(both < TINY, 1.0, 1.0 - np.clip(product / np.where(both < TINY, 1.0, both), -1.0, 1.0))
+
+
 def pairwise(name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of every row of ``a`` to every row of ``b``, in double."""
+    """Distances of every row of ``a`` to every row of ``b`` by one matrix product; ``slack`` bounds their error."""
     metric(name)
     a, b = np.asarray(a, float), np.asarray(b, float)
     product = a @ b.T
@@ -78,10 +89,31 @@ def pairwise(name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 0.0 - product
     square_a, square_b = (a * a).sum(1)[:, None], (b * b).sum(1)[None, :]
     if name == "l2":
-        near = np.maximum(square_a + square_b - 2 * product, 0.0)
-        # the difference of large numbers says little about near pairs: take those directly
-        for i, j in zip(*np.nonzero(near < 1e-6 * (square_a + square_b)), strict=True):
-            near[i, j] = ((a[i] - b[j]) ** 2).sum()
-        return near
+        return np.maximum(square_a + square_b - 2 * product, 0.0)
     both = np.sqrt(square_a) * np.sqrt(square_b)
     return np.where(both < TINY, 1.0, 1.0 - np.clip(product / np.where(both < TINY, 1.0, both), -1.0, 1.0))
+
+
+def slack(name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far ``pairwise`` and ``direct`` may differ, for each row of ``a``."""
+    unit = 8 * (a.shape[1] + 8) * np.finfo(float).eps
+    if name == "cosine":
+        return np.full(len(a), unit)
+    return unit * ((a * a).sum(1) + ((b * b).sum(1).max() if len(b) else 0.0))
+
+
+def chosen(name: str, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """``direct`` distances of the pairs (a[i], b[j])."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    return np.concatenate([direct(name, a[i[k : k + block]], b[j[k : k + block]]) for k in range(0, max(len(i), 1), block)])
+
+
+def nearest_row(name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of the nearest row of ``b`` for each row of ``a``; of equally near ones the lowest."""
+    near = pairwise(name, a, b)
+    found = near.argmin(1)
+    i, j = np.nonzero(near <= (near[np.arange(len(a)), found] + 2 * slack(name, np.asarray(a, float), np.asarray(b, float)))[:, None])
+    if len(i) > len(a):
+        order = np.lexsort((j, chosen(name, a, b, i, j), i))
+        found = j[order][np.flatnonzero(np.diff(i[order], prepend=-1))]
+    return found

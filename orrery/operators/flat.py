@@ -17,8 +17,8 @@ MAX_DIM = 2000
 
 
 def malformed(dim: int) -> Column:
-    """Whether a row cannot be indexed: null id or vector, wrong length, a null or NaN element."""
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")))
+    """Whether a row cannot be indexed: null id or vector, wrong length, an element that is null, NaN or infinite."""
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     return F.col("vec_id").isNull() | F.col("embedding").isNull() | (F.size("embedding") != dim) | F.coalesce(bad, F.lit(True))
 
 
@@ -55,8 +55,16 @@ class FlatIndex:
         return self.vectors if self.tombstones is None else self.vectors.join(self.tombstones, "vec_id", "left_anti")
 
     def insert(self, more: DataFrame) -> FlatIndex:
-        """One or many vectors; an empty table changes nothing.  Ids are the caller's and should be new."""
-        return replace(self, vectors=self.vectors.unionByName(validated(more, self.dim), allowMissingColumns=True))
+        """One or many vectors; an empty table changes nothing.
+
+        Ids are the caller's and should not be those of live vectors; that of a deleted one may come back, with the new vector alone.
+        """
+        more = validated(more, self.dim)
+        if self.tombstones is None:
+            return replace(self, vectors=self.vectors.unionByName(more, allowMissingColumns=True))
+        back = more.select("vec_id").distinct()
+        kept = self.vectors.join(self.tombstones.join(back, "vec_id", "left_semi"), "vec_id", "left_anti")
+        return replace(self, vectors=kept.unionByName(more, allowMissingColumns=True), tombstones=self.tombstones.join(back, "vec_id", "left_anti"))
 
     def delete(self, ids: DataFrame) -> tuple[FlatIndex, DataFrame]:
         """Hide vectors by id; also returns (vec_id, deleted)."""
@@ -73,8 +81,17 @@ class FlatIndex:
         """(vec_id, is_deleted) of each id; one that the index does not have counts as deleted."""
         return delete_status(self.live(), ids).select("vec_id", (~F.col("deleted")).alias("is_deleted"))
 
-    def count(self) -> int:
-        return self.live().count()
+    def count(self, deleted: bool = False) -> int:
+        """Live vectors; with ``deleted`` also those that are deleted and not yet compacted away."""
+        return (self.vectors if deleted else self.live()).count()
+
+    def prepared(self) -> FlatIndex:
+        """The same with its live vectors kept in memory or on executors' disks for many searches, until ``release``."""
+        return replace(self, vectors=self.live().persist(), tombstones=None)
+
+    def release(self) -> None:
+        """Give up what ``prepared`` keeps."""
+        self.vectors.unpersist()
 
     def search(self, query: Sequence[float], k: int, where: Column | str | None = None) -> DataFrame:
         """(rank, vec_id, distance) of the k nearest live vectors that fulfil ``where``."""

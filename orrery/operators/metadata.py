@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.sources.store import load_version, save_version
+from orrery.operators.flat import delete_status
+from orrery.sources.store import load_version, save_version, versions
 
 
 def upsert(store: DataFrame, changes: DataFrame) -> DataFrame:
@@ -24,7 +25,13 @@ def lookup(ids: DataFrame, store: DataFrame) -> DataFrame:
     return ids.select("vec_id").join(store, "vec_id", "left").select("vec_id", "metadata")
 
 
+def remove_status(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """(vec_id, removed) for each asked id: false where the store does not have it."""
+    return delete_status(store, ids.select("vec_id")).withColumnRenamed("deleted", "removed")
+
+
 def remove(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """The store without ``ids``."""
     return store.join(ids.select("vec_id"), "vec_id", "left_anti")
 
 
@@ -53,4 +60,7 @@ def save(store: DataFrame, path: str) -> int:
 
 
 def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The store as saved; where nothing was saved, an empty one."""
+    if version is None and not versions(spark, path):
+        return spark.createDataFrame([], "vec_id long, metadata string")
     return load_version(spark, path, "metadata", version)[0]["metadata"]

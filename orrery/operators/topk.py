@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions.distance import metric, pairwise, vector
+from orrery.functions.distance import chosen, metric, pairwise, slack, vector
 
 #: Queries that one pass over the vectors answers; more are answered in several passes.
 QUERY_BLOCK = 4096
@@ -39,23 +39,52 @@ def threshold(found: DataFrame, distance: Column | str = "distance") -> DataFram
     return found.agg(F.coalesce(F.max(distance), F.lit(float("inf"))).alias("threshold"))
 
 
+class Best:
+    """The k nearest so far of each of some queries; ties go to the smaller vec_id.
+
+    A matrix product finds what may be among them; those few distances are then computed directly.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, name: str) -> None:
+        self.queries, self.k, self.name = np.asarray(queries, float), k, name
+        self.d = np.full((len(queries), k), np.inf)
+        self.i = np.full((len(queries), k), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, x: np.ndarray, who: np.ndarray | None = None) -> None:
+        """Vectors ``x`` with their ids, for the queries numbered ``who`` (all)."""
+        who = np.arange(len(self.queries)) if who is None else who
+        mine, limit = self.queries[who], self.d[who, -1]
+        x = np.asarray(x, float)
+        near = pairwise(self.name, mine, x)
+        if near.shape[1] > self.k and np.isinf(limit).any():
+            limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
+        a, b = np.nonzero(near <= (limit + 2 * slack(self.name, mine, x))[:, None])
+        if not len(a):
+            return
+        q = who[a]
+        rows, size = np.unique(q, return_counts=True)
+        every = np.concatenate([np.repeat(rows, self.k), q])
+        d = np.concatenate([self.d[rows].ravel(), chosen(self.name, mine, x, a, b)])
+        i = np.concatenate([self.i[rows].ravel(), ids[b]])
+        order = np.lexsort((i, d, every))
+        begin = np.concatenate([[0], np.cumsum(size + self.k)[:-1]])
+        keep = order[(begin[:, None] + np.arange(self.k)).ravel()]
+        self.d[rows], self.i[rows] = d[keep].reshape(-1, self.k), i[keep].reshape(-1, self.k)
+
+    def batch(self, names: np.ndarray) -> pa.RecordBatch:
+        """query_id, vec_id, distance of what there is."""
+        full = self.d < np.inf
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, full.sum(1))), pa.array(self.i[full]), pa.array(self.d[full])], names=["query_id", "vec_id", "distance"])
+
+
 def _kernel(ids: list, matrix: np.ndarray, k: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_d = np.full((len(ids), 0), np.inf)
-        best_i = np.zeros((len(ids), 0), np.int64)
+        best = Best(matrix, k, name)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                vec = part.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-                d = np.concatenate([best_d, pairwise(name, matrix, as_matrix(part.column(1)))], 1)
-                i = np.concatenate([best_i, np.broadcast_to(vec, (len(ids), len(vec)))], 1)
-                if d.shape[1] > 4 * k + 1024 or at == 0:
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-                best_d, best_i = d, i
-        order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-        best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), best_d.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=["query_id", "vec_id", "distance"])
+                best.add(part.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False), as_matrix(part.column(1)))
+        yield best.batch(np.array(ids, np.int64))
 
     return run
 

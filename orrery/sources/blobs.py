@@ -22,5 +22,12 @@ def join(chunks: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("seq", "chunk")))
     packed = chunks.groupBy("id").agg(parts.alias("parts"))
     whole = F.element_at("parts", -1)["seq"] == F.size("parts") - 1
-    data = F.aggregate("parts", F.lit(b""), lambda s, x: F.concat(s, x["chunk"]))
+    # joined as one string of hex digits: a fold would copy the blob once for each chunk
+    data = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["chunk"])), ""))
     return packed.select("id", F.when(whole, data).alias("payload"))
+
+
+def prefix(chunks: DataFrame, length: int, size: int = CHUNK) -> DataFrame:
+    """(id, payload): the first ``length`` bytes of each blob (all, if it has fewer); chunks beyond them are not read."""
+    some = join(chunks.where(F.col("seq") * size < length))
+    return some.select("id", F.substring("payload", 1, length).alias("payload"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -53,9 +54,36 @@ def test_kernel_agrees_with_the_definition(dim, seed):
         for j in range(3):
             x, y = a[i], b[j]
             n = np.linalg.norm(x) * np.linalg.norm(y)
-            assert D.pairwise("l2", a, b)[i, j] == pytest.approx(((x - y) ** 2).sum(), rel=1e-6, abs=1e-15)
-            assert D.pairwise("inner_product", a, b)[i, j] == pytest.approx(-(x @ y))
-            assert D.pairwise("cosine", a, b)[i, j] == pytest.approx(1.0 if n < 1e-12 else 1 - np.clip(x @ y / n, -1, 1), abs=1e-12)
+            for name, want in (("l2", ((x - y) ** 2).sum()), ("inner_product", -(x @ y)), ("cosine", 1.0 if n < 1e-12 else 1 - np.clip(x @ y / n, -1, 1))):
+                assert D.chosen(name, a, b, np.array([i]), np.array([j]))[0] == pytest.approx(want, rel=1e-9, abs=1e-15)
+                assert abs(D.pairwise(name, a, b)[i, j] - want) <= D.slack(name, a, b)[i]
+
+
+@pytest.mark.parametrize("name", ["l2", "cosine", "inner_product"])
+def test_equal_vectors_have_equal_distances(name):
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=64)
+    vectors, queries = np.tile(one, (2051, 1)), rng.normal(size=(50, 64))
+    best = topk.Best(queries, 5, name)
+    for at in range(0, 2051, 700):
+        best.add(np.arange(2051)[::-1][at : at + 700], vectors[at : at + 700])
+    assert (best.i == np.arange(5)).all() and (best.d == best.d[:, :1]).all()
+    assert (D.nearest_row(name, queries, vectors) == 0).all()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000), st.sampled_from(["l2", "cosine", "inner_product"]))
+def test_best_against_sorting(seed, name):
+    rng = np.random.default_rng(seed)
+    x, q = rng.integers(-2, 3, (60, 3)).astype(float), rng.integers(-2, 3, (7, 3)).astype(float)
+    ids, k = rng.permutation(60), int(rng.integers(1, 70))
+    best = topk.Best(q, k, name)
+    for part in np.array_split(np.arange(60), 4):
+        best.add(ids[part], x[part])
+    for r in range(7):
+        d = D.chosen(name, q, x, np.full(60, r), np.arange(60))
+        order = np.lexsort((ids, d))[:k]
+        assert best.i[r][: len(order)].tolist() == ids[order].tolist() and best.d[r][: len(order)].tolist() == d[order].tolist()
 
 
 # exact search
@@ -277,7 +305,10 @@ def test_log_replay_and_corruption(spark, tmp_path):
     assert read(changelog.replay(base, bad)) == {1: b"b", 3: b"three", 9: b"n"}
     with pytest.raises(Exception, match="corrupt"):
         changelog.checkpoint(base, bad).collect()
-    assert spark.range(1).select(changelog.checksum(F.lit(b"123456789")).alias("c")).first().c == 0xCBF43926
+    row = spark.range(1).select(changelog.checksum(F.lit(3), F.lit("put"), F.lit(12), F.lit(b"123456789")).alias("c"))
+    assert row.first().c == zlib.crc32(b"3\0put\x0012\x00123456789")
+    for change in ({"op": F.lit("other")}, {"vec_id": F.col("vec_id") + 1}, {"lsn": F.col("lsn") + 1}, {"payload": F.lit(b"q")}):
+        assert changelog.intact(entries.withColumns(change)).count() == 0
     path = f"file://{tmp_path}/log"
     changelog.append(spark.createDataFrame([(1, "put", 1, b"a")], "lsn long, op string, vec_id long, payload binary"), path)
     changelog.append(spark.createDataFrame([(2, "put", 1, b"z")], "lsn long, op string, vec_id long, payload binary"), path)
@@ -293,7 +324,7 @@ def test_log_on_disk(spark, tmp_path):
     changelog.append(spark.createDataFrame([(1, "put", 1, b"a"), (2, "put", 2, b"b")], schema), path)
     assert read() == {1: b"a", 2: b"b"}
     assert changelog.checkpoint_to(changelog.opened(spark, path, table), path, table) == 1
-    assert not (tmp_path / "log").exists() and read() == {1: b"a", 2: b"b"}
+    assert not list((tmp_path / "log").glob("*.parquet")) and read() == {1: b"a", 2: b"b"}
     changelog.append(spark.createDataFrame([(3, "delete", 1, None)], schema), path)
     assert read() == {2: b"b"}
     bad = changelog.entries(spark.createDataFrame([(4, "put", 2, b"x")], schema)).withColumn("crc", F.lit(7).cast("long"))
@@ -363,3 +394,82 @@ def test_stream_ingest(spark, tmp_path):
             part.write.mode("append").parquet(f"{path}/in")
     got = ingest.ingested(spark, f"{path}/out")
     assert {r.vec_id: r.cid for r in got.collect()} == {k: k // 20 for k in range(60)}
+
+
+def test_a_deleted_id_may_come_back(spark):
+    index = flat.FlatIndex.create(vectors(spark, [[1, 1], [2, 2], [3, 3]]), 2)
+    index, _ = index.delete(vectors(spark, [[0, 0]], 1))
+    assert index.count() == 2 and index.count(deleted=True) == 3
+    index = index.insert(vectors(spark, [[9, 9]], 1))
+    assert [(r.vec_id, r.distance) for r in index.search([9, 9], 1).collect()] == [(1, 0.0)]
+    assert [r.vec_id for r in index.search([2, 2], 3).collect()] == [0, 2, 1] and index.count() == 3
+    cells = ivf.IvfIndex.create(spark, 2, nlist=2, nprobe=2).train(vectors(spark, [[0, 0], [9, 9]])).insert(vectors(spark, [[1, 1], [2, 2], [8, 8]]))
+    cells, _ = cells.delete(vectors(spark, [[0, 0]], 1))
+    cells = cells.insert(vectors(spark, [[7, 7]], 1))
+    assert [r.vec_id for r in cells.search([2, 2], 3).collect()] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("name", ["l2", "cosine", "inner_product"])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_prepared_cells_give_the_same(spark, name, kind):
+    rng = np.random.default_rng(2)
+    rows = vectors(spark, rng.normal(size=(500, 8))).select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding")).repartition(3)
+    asked = vectors(spark, rng.normal(size=(20, 8))).withColumnRenamed("vec_id", "query_id")
+    index = ivf.IvfIndex.create(spark, 8, name, nlist=9, nprobe=3).train(rows).insert(rows)
+    kept = index.prepared()
+    for n in (1, 3, 9):
+        assert kept.search_batch(asked, 5, nprobe=n).collect() == index.search_batch(asked, 5, nprobe=n).collect()
+    assert kept.search_batch(asked, 5, F.col("vec_id") % 2 == 0).count() == 100
+    kept.release()
+    exact = flat.FlatIndex.create(rows, 8, name).prepared()
+    assert exact.search_batch(asked, 5).collect() == index.search_batch(asked, 5, nprobe=9).collect()
+    exact.release()
+
+
+def test_infinite_elements_are_refused(spark):
+    for bad in (math.inf, -math.inf, math.nan):
+        rows = vectors(spark, [[1, 2], [bad, 0]])
+        assert flat.FlatIndex.create(rows, 2, strict=False).count() == 1
+        with pytest.raises(Exception, match="malformed"):
+            flat.FlatIndex.create(rows, 2).count()
+
+
+def test_records_statuses_and_compaction(spark, tmp_path):
+    rows = spark.createDataFrame([(1, b"a"), (2, b"b"), (3, b"c")], "id long, payload binary")
+    path = f"file://{tmp_path}/records"
+    records.save(rows, path)
+    some = spark.createDataFrame([(2,), (9,)], "id long")
+    assert {(r.id, r.deleted) for r in records.delete_status(rows, some).collect()} == {(2, True), (9, False)}
+    kept = records.delete(rows, some)
+    assert {(r.id, r.deleted) for r in records.delete_status(kept, some).collect()} == {(2, False), (9, False)}
+    now, gone = records.compact(kept, path)
+    assert gone == 1 and now.count() == 2 and records.load(spark, path).count() == 2
+    assert {(r.id, r.found, r.payload) for r in records.get(now, spark.createDataFrame([(1,), (2,)], "id long")).collect()} == {(1, True, b"a"), (2, False, None)}
+    with pytest.raises(Exception, match="empty record"):
+        records.update(rows, spark.createDataFrame([(1, b"")], rows.schema)).collect()
+
+
+def test_metadata_of_an_absent_store_and_statuses(spark, tmp_path):
+    assert metadata.load(spark, f"file://{tmp_path}/none").collect() == []
+    store_ = spark.createDataFrame([(1, "a")], "vec_id long, metadata string")
+    asked = spark.createDataFrame([(1,), (2,)], "vec_id long")
+    assert {(r.vec_id, r.removed) for r in metadata.remove_status(store_, asked).collect()} == {(1, True), (2, False)}
+
+
+def test_rows_appended_during_a_checkpoint_stay(spark, tmp_path, monkeypatch):
+    path, table = f"file://{tmp_path}/log", f"file://{tmp_path}/base"
+    base = spark.createDataFrame([], "vec_id long, payload binary")
+    put = lambda lsn: changelog.append(spark.createDataFrame([(lsn, "put", lsn, b"x")], "lsn long, op string, vec_id long, payload binary"), path)
+    put(1)
+    monkeypatch.setattr(changelog, "save_version", lambda *a, f=changelog.save_version: (put(2), f(*a))[1])
+    changelog.checkpoint_to(base, path, table)
+    assert sorted(r.vec_id for r in changelog.opened(spark, path, table).collect()) == [1, 2]
+    changelog.checkpoint_to(changelog.opened(spark, path, table), path, table)
+    assert sorted(r.vec_id for r in changelog.opened(spark, path, table).collect()) == [1, 2]
+
+
+def test_prefix_of_a_blob(spark):
+    whole = bytes(range(256)) * 100
+    chunks = blobs.split(spark.createDataFrame([(1, whole), (2, b"abc")], "id long, payload binary"))
+    for n in (1, 3, 8172, 8173, 20_000, 10**6):
+        assert {r.id: bytes(r.payload) for r in blobs.prefix(chunks, n).collect()} == {1: whole[:n], 2: b"abc"[:n]}
