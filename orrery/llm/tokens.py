@@ -117,17 +117,20 @@ class Encoder:
 
     def ids_of(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of distinct pieces, as bytes."""
-        out = list(map(self.new.get, pieces))
-        for k in [k for k, x in enumerate(out) if x is None]:
-            out[k] = self.old.get(pieces[k])
-        at = [k for k, x in enumerate(out) if x is None]
+        out, old = list(map(self.new.get, pieces)), self.old.get
+        away = [k for k, x in enumerate(out) if x is None]
+        asked = [pieces[k] for k in away]
+        found = list(map(old, asked))
+        at = [k for k, x in enumerate(found) if x is None]
         if at:
-            for k, x in zip(at, self.learned([pieces[k] for k in at]), strict=True):
-                out[k] = x
-        if len(self.new) + len(pieces) > self.cache:
-            self.old, self.new = self.new, {}
-        if len(pieces) <= self.cache:
-            self.new.update(zip(pieces, out, strict=True))
+            for k, x in zip(at, self.learned([asked[k] for k in at]), strict=True):
+                found[k] = x
+        for k, x in zip(away, found, strict=True):
+            out[k] = x
+        if len(self.new) + len(asked) > self.cache:
+            self.old, self.new, asked, found = self.new, {}, pieces, out
+        if len(asked) <= self.cache:
+            self.new.update(zip(asked, found, strict=True))
         return out
 
     def learned(self, pieces: list[bytes]) -> list[bytes]:
