@@ -327,6 +327,7 @@ def _sets(k: int):
                     out, held = [], 0
             if out:
                 yield _batch(out)
+        release()
 
     return run
 

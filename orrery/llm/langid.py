@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.text import release
+
 BITS = 18
 ORDERS = (1, 2, 3, 4)
 #: Bounds of the training sample: labels, rows of each, and bytes of text of each.
@@ -197,6 +199,7 @@ def identify(docs: DataFrame, model: Model, *more: Column | str) -> DataFrame:
             texts = batch.column(len(names))
             out = [model.predict(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=[*names, "lang_pred", "score"])
+        release()
 
     schema = kept.drop("_text").schema.add("lang_pred", "string").add("score", "double")
     return kept.mapInArrow(run, schema)
