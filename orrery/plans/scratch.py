@@ -19,6 +19,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = 1000
+
 _own: list[str] = []
 #: The tables of the blocks that each thread is in.
 _open = threading.local()
@@ -51,10 +53,26 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches for Python of ``BATCH`` rows at most: rows hold whole texts, and executors hold a batch twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= BATCH:
+        yield
+        return
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of it."""
     path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     if _blocks():
         _blocks()[-1].append(out)
