@@ -193,3 +193,27 @@ def test_damage_in_an_archive_is_an_error(spark, tmp_path, split):
             read(raw)
     with pytest.raises(Exception, match="DamagedArchive"):
         read(sound[:second], size)
+
+
+def test_exact_groups_of_rows_without_ids(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (2, "a b"), (2, "a b"), (None, None), (None, ""), (5, "c"), (None, "d" * 5000), (None, "d" * 5000)], "doc_id long, text string").repartition(3)
+    got = exact_dedup.exact_groups(df).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.text_sha256, []).append(r)
+    assert len(got) == 9 and sorted(len(x) for x in by.values()) == [1, 2, 2, 4]
+    for x in by.values():
+        assert sum(r.kept for r in x) == 1 and {r.group_size for r in x} == {len(x)}
+        assert {r.keep_id for r in x} == {max((r.doc_id for r in x if r.doc_id is not None), default=None)}
+
+
+def test_passed_over_record_types_and_foreign_ids(tmp_path, spark):
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    page = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Length: 21\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhi\r\n\r\n"
+    raw = b""
+    for x in (info, page, info):
+        pack = zlib.compressobj(5, zlib.DEFLATED, 31)
+        raw += pack.compress(x) + pack.flush()
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    (r,) = warc.read_warc(warc.archive(spark, f"file://{tmp_path}")).collect()
+    assert (r.page_id, r.payload_bytes, bytes(r.payload), r.record_type) == (None, 2, b"hi", "response")
