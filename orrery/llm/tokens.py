@@ -46,7 +46,7 @@ END = 2
 BLOCK_IDS = 1 << 18
 ROLL = 1 << 23
 #: Pieces in each of the two tables of a worker, those sent to the tokenizer at once, and bytes of texts encoded together.
-CACHE, LEARN, TEXTS = 300_000, 400, 4 << 20
+CACHE, LEARN, TEXTS = 250_000, 400, 4 << 20
 MAGIC = b"ORTK"
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -82,12 +82,13 @@ def piece_starts(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start | tail)
 
 
-def cut_alike(about: dict) -> bool:
-    """Whether a tokenizer file splits texts by the rules that ``piece_starts`` follows."""
-    split, model = about.get("pre_tokenizer") or {}, about.get("model") or {}
-    plain = not any(about.get(k) for k in ("normalizer", "truncation", "padding"))
-    bpe = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
-    return plain and bpe and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+def cut_alike(own) -> bool:
+    """Whether a tokenizer splits texts by the rules that ``piece_starts`` follows."""
+    if own.pre_tokenizer is None or own.normalizer is not None or own.truncation is not None or own.padding is not None:
+        return False
+    split, model = json.loads(own.pre_tokenizer.__getstate__()), own.model
+    bpe = type(model).__name__ == "BPE" and not any((model.dropout, model.unk_token, model.continuing_subword_prefix, model.end_of_word_suffix))
+    return bpe and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
 
 
 class Encoder:
@@ -104,8 +105,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            self.by_pieces = cut_alike(json.load(f))
+        self.by_pieces = cut_alike(self.own)
         added = self.own.get_added_tokens_decoder()
         self.special = [t.content.encode() for t in added.values()]
         sound = [(t.content.encode(), k) for k, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
@@ -114,6 +114,7 @@ class Encoder:
         self.cache = CACHE if cache is None else cache
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        release()  # what reading the vocabulary took
 
     def ids_of(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of distinct pieces, as bytes."""
