@@ -140,12 +140,17 @@ class Encoder:
         The tokenizer splits texts at its special tokens before all else, so pieces joined by one keep their ids, and
         the special token's id tells them apart.
         """
-        if self.between is None or any(x in p for x in self.special for p in pieces):
+        if self.between is None:
             return [self._plain(p).tobytes() for p in pieces]
         out, width = [], self.type.itemsize
         for low in range(0, len(pieces), LEARN):
             some = pieces[low : low + LEARN]
-            (found,) = self.own.encode_batch_fast([self.between[0].join(some).decode()], add_special_tokens=False)
+            joined = self.between[0].join(some)
+            # searched once joined, as searching each piece takes long
+            if any(joined.count(x) > (len(some) - 1) * (x in self.between[0]) for x in self.special):
+                out += [self._plain(p).tobytes() for p in some]
+                continue
+            (found,) = self.own.encode_batch_fast([joined.decode()], add_special_tokens=False)
             ids = np.array(found.ids, self.type)
             raw, ends = ids.tobytes(), [*(np.flatnonzero(ids == self.between[1]) * width).tolist(), len(ids) * width]
             out += [raw[a:b] for a, b in zip([0, *(x + width for x in ends[:-1])], ends, strict=True)]

@@ -49,6 +49,15 @@ def test_encoder_forgets_and_learns_anew(plain):
         check(plain, own, [" ".join(map(str, numbers)), "the same words"])
 
 
+def test_only_the_batch_of_a_special_string_is_encoded_alone(plain, monkeypatch):
+    own, alone = tokens.Encoder(tokens.tokenizer_path()), []
+    monkeypatch.setattr(own, "_plain", lambda raw, f=own._plain: alone.append(raw) or f(raw))
+    pieces = [f" word{k}".encode() for k in range(3 * tokens.LEARN)]
+    pieces[5] = b" a" + own.special[0] + b"b"
+    assert [np.frombuffer(x, own.type).tolist() for x in own.learned(pieces)] == [plain.encode(p.decode(), add_special_tokens=False).ids for p in pieces]
+    assert len(alone) == tokens.LEARN
+
+
 def thue_morse(n, a="a", b="b"):
     """Words whose polynomial hashes modulo 2**64 agree under every odd base, from 1024 characters on."""
     w = "".join("ab"[k.bit_count() & 1] for k in range(n))
