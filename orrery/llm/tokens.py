@@ -46,7 +46,7 @@ END = 2
 BLOCK_IDS = 1 << 18
 ROLL = 1 << 23
 #: Pieces in each of the two tables of a worker, those sent to the tokenizer at once, and bytes of texts encoded together.
-CACHE, LEARN, TEXTS = 250_000, 400, 4 << 20
+CACHE, LEARN, TEXTS = 250_000, 400, 2 << 20
 MAGIC = b"ORTK"
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -161,9 +161,8 @@ class Encoder:
 
     def odd(self, raw: np.ndarray, offsets: np.ndarray) -> set[int]:
         """Texts with other white space, or with the string of a special token."""
-        a, b, c = (np.concatenate([raw[k:], np.zeros(k, np.uint8)]) for k in (0, 1, 2))
-        lead = np.flatnonzero((a == 0xC2) | (a >= 0xE1) & (a <= 0xE3))
-        a, b, c = a[lead], b[lead], c[lead]
+        lead = np.flatnonzero((raw == 0xC2) | (raw >= 0xE1) & (raw <= 0xE3)).astype(np.int32)
+        a, b, c = (raw.take(lead + k, mode="clip") for k in (0, 1, 2))
         wide = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
         wide |= (a == 0xE2) & ((b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
         at, whole = lead[wide].tolist(), raw.tobytes()
@@ -188,10 +187,15 @@ class Encoder:
         coded = self.ids_of(pieces)
         pool = np.frombuffer(b"".join(coded), self.type)
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.type.itemsize
+        del pieces, coded
         count, place = size[which], (np.cumsum(size) - size)[which]
         stop = np.cumsum(count)
-        ids = pool[np.repeat(place - (stop - count), count) + np.arange(stop[-1])]
+        place -= stop - count
+        at = np.repeat(place, count)
+        at += np.arange(stop[-1])
+        ids = pool[at]
         cut = np.append(0, stop)[np.searchsorted(start, offsets)]
+        del which, count, place, at
         return [self._plain(raw[ends[d] : ends[d + 1]].tobytes()) if d in odd else ids[cut[d] : cut[d + 1]] for d in range(n)]
 
 
@@ -277,6 +281,7 @@ def _writer(folder: str, path: str, end: int):
                     many += len(docs[-1][1])
                     if many >= ROLL:
                         yield close()
+                release()  # freed memory that stays with the worker counts beside all that the executor holds
         if docs:
             yield close()
         release()

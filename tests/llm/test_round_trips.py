@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import types
 import zlib
 
 import numpy as np
@@ -105,6 +106,27 @@ def test_token_files(spark, plain, monkeypatch):
     assert tokens.read_tokens(tokens.write_tokens(docs(spark, ["a"]).where("false"))).collect() == []
 
 
+def test_a_worker_gives_freed_memory_back_after_each_block(tmp_path, monkeypatch, plain, encoder):
+    rng, seen = random.Random(0), []
+    texts = [prose(rng, 30) for _ in range(20)]
+    monkeypatch.setattr(tokens, "TEXTS", 400)
+    monkeypatch.setattr(tokens, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(tokens, "release", lambda: seen.append("release"))
+
+    def encode(raw, offsets):
+        seen.append("encode")
+        return encoder(raw, offsets)
+
+    encode.type = encoder.type
+    monkeypatch.setattr(tokens, "encoder", lambda path: encode)
+    batches = iter([pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "text": texts})])
+    (made,) = tokens._writer(f"file://{tmp_path}", "", 2)(batches)
+    n = seen.count("encode")
+    assert n > 5 and seen[: 2 * n] == ["encode", "release"] * n
+    got = [(d, x.tolist()) for ids, parts in tokens.read_file(made.to_pydict()["path"][0]) for d, x in zip(ids, parts, strict=True)]
+    assert got == [(d, [*plain.encode(t, add_special_tokens=False).ids, 2]) for d, t in enumerate(texts)]
+
+
 def test_repeated_and_null_doc_ids_have_an_order(spark):
     df = spark.createDataFrame([(2, "b"), (None, "n"), (2, "a"), (2, "b"), (1, None)], "doc_id long, text string")
     got = sorted(tokens.read_tokens(tokens.write_tokens(df)).collect(), key=lambda r: r.start)
