@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Products of norms, and norms, below this count as zero (a fixed value of the search semantics).
 TINY = 1e-12
 
+#: Elements of an array that a kernel makes for pairs of vectors: some ten of them are alive at once, whatever the number of queries or cells.
+PAIRS = 1 << 18
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
@@ -110,6 +113,9 @@ def chosen(name: str, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray
 
 def nearest_row(name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of the nearest row of ``b`` for each row of ``a``; of equally near ones the lowest."""
+    step = max(PAIRS // max(len(b), 1), 1)
+    if len(a) > step:
+        return np.concatenate([nearest_row(name, a[k : k + step], b) for k in range(0, len(a), step)])
     near = pairwise(name, a, b)
     found = near.argmin(1)
     i, j = np.nonzero(near <= (near[np.arange(len(a)), found] + 2 * slack(name, np.asarray(a, float), np.asarray(b, float)))[:, None])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions.distance import chosen, metric, pairwise, slack, vector
+from orrery.functions.distance import PAIRS, chosen, metric, pairwise, slack, vector
 
 #: Queries that one pass over the vectors answers; more are answered in several passes.
 QUERY_BLOCK = 4096
@@ -42,7 +42,8 @@ def threshold(found: DataFrame, distance: Column | str = "distance") -> DataFram
 class Best:
     """The k nearest so far of each of some queries; ties go to the smaller vec_id.
 
-    A matrix product finds what may be among them; those few distances are then computed directly.
+    A matrix product finds what may be among them; those few distances are then computed directly.  Arrays of
+    pairs have ``PAIRS`` elements at most.
     """
 
     def __init__(self, queries: np.ndarray, k: int, name: str) -> None:
@@ -53,8 +54,14 @@ class Best:
     def add(self, ids: np.ndarray, x: np.ndarray, who: np.ndarray | None = None) -> None:
         """Vectors ``x`` with their ids, for the queries numbered ``who`` (all)."""
         who = np.arange(len(self.queries)) if who is None else who
+        for low in range(0, len(x), 2048):
+            part = np.asarray(x[low : low + 2048], float)
+            step = max(PAIRS // max(part.shape[0], part.shape[1], self.k), 1)
+            for at in range(0, len(who), step):
+                self._add(ids[low : low + 2048], part, who[at : at + step])
+
+    def _add(self, ids: np.ndarray, x: np.ndarray, who: np.ndarray) -> None:
         mine, limit = self.queries[who], self.d[who, -1]
-        x = np.asarray(x, float)
         near = pairwise(self.name, mine, x)
         if near.shape[1] > self.k and np.isinf(limit).any():
             limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])

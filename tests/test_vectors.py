@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,6 +88,30 @@ def test_best_against_sorting(seed, name):
         assert best.i[r][: len(order)].tolist() == ids[order].tolist() and best.d[r][: len(order)].tolist() == d[order].tolist()
 
 
+def most_mb(run):
+    """MB that are held at most while ``run`` runs."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def vector_batch(x, *more):
+    """vec_id, embedding and more columns as they come to a kernel."""
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), flat, *more], names=["vec_id", "embedding", "cid"][: 2 + len(more)])
+
+
+@pytest.mark.parametrize("name", ["cosine"])
+def test_memory_of_exact_search_does_not_grow_with_the_queries(name):
+    rng = np.random.default_rng(4)
+    batch, q = vector_batch(rng.normal(size=(2048, 64))), rng.normal(size=(topk.QUERY_BLOCK, 64))
+    few, many = (most_mb(lambda n=n: list(topk._kernel(list(range(n)), q[:n], 10, name)(iter([batch])))) for n in (400, len(q)))
+    assert many < 40 and many < 1.6 * few
+
+
 # exact search
 
 
