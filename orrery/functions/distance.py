@@ -105,9 +105,10 @@ def slack(name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return unit * ((a * a).sum(1) + ((b * b).sum(1).max() if len(b) else 0.0))
 
 
-def chosen(name: str, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+def chosen(name: str, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """``direct`` distances of the pairs (a[i], b[j])."""
     a, b = np.asarray(a, float), np.asarray(b, float)
+    block = max(PAIRS // max(a.shape[1], 1), 1)
     return np.concatenate([direct(name, a[i[k : k + block]], b[j[k : k + block]]) for k in range(0, max(len(i), 1), block)])
 
 

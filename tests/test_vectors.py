@@ -112,6 +112,13 @@ def test_memory_of_exact_search_does_not_grow_with_the_queries(name):
     assert many < 40 and many < 1.6 * few
 
 
+def test_memory_of_many_equal_vectors_is_bounded():
+    one = np.random.default_rng(5).normal(size=64)
+    best = topk.Best(np.tile(one, (1024, 1)), 10, "l2")
+    assert most_mb(lambda: best.add(np.arange(2048)[::-1], np.tile(one, (2048, 1)))) < 50
+    assert (best.i == np.arange(10)).all()
+
+
 # exact search
 
 
