@@ -104,7 +104,7 @@ def vector_batch(x, *more):
     return pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), flat, *more], names=["vec_id", "embedding", "cid"][: 2 + len(more)])
 
 
-@pytest.mark.parametrize("name", ["cosine", "inner_product"])
+@pytest.mark.parametrize("name", ["cosine", "inner_product", "l2"])
 def test_memory_of_exact_search_does_not_grow_with_the_queries(name):
     rng = np.random.default_rng(4)
     batch, q = vector_batch(rng.normal(size=(2048, 64))), rng.normal(size=(topk.QUERY_BLOCK, 64))
