@@ -112,6 +112,16 @@ def test_memory_of_exact_search_does_not_grow_with_the_queries(name):
     assert many < 40 and many < 1.6 * few
 
 
+def test_memory_of_probed_search_does_not_grow_with_the_queries():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(2048, 64)), rng.normal(size=(topk.QUERY_BLOCK, 64))
+    # a cell has fewer vectors than k, so that all its pairs are candidates
+    cid = np.arange(2048) % 256
+    cells, batch = np.tile(np.arange(256), (len(q), 1))[:, :14], vector_batch(x, pa.array(cid.astype(np.int32)))
+    few, many = (most_mb(lambda n=n: list(ivf._probed(np.arange(n), q[:n], cells[:n], 10, "l2", False)(iter([batch])))) for n in (1024, len(q)))
+    assert many < 30 and many < 3 * few
+
+
 def test_memory_of_many_equal_vectors_is_bounded():
     one = np.random.default_rng(5).normal(size=64)
     best = topk.Best(np.tile(one, (1024, 1)), 10, "l2")
