@@ -122,6 +122,13 @@ def test_memory_of_probed_search_does_not_grow_with_the_queries():
     assert many < 30 and many < 3 * few
 
 
+def test_memory_of_assigning_does_not_grow_with_the_cells():
+    rng = np.random.default_rng(7)
+    batch, centroids = vector_batch(rng.normal(size=(2048, 64))), rng.normal(size=(2048, 64))
+    few, many = (most_mb(lambda n=n: list(ivf._cells(centroids[:n], "l2")(iter([batch])))) for n in (128, 2048))
+    assert many < 20 and many < 2 * few
+
+
 def test_memory_of_many_equal_vectors_is_bounded():
     one = np.random.default_rng(5).normal(size=64)
     best = topk.Best(np.tile(one, (1024, 1)), 10, "l2")
